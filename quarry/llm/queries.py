@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import token_output
+from quarry.llm import byte_bpe, packing, token_output
 
 
 def queries() -> dict:
     return {
         "op1_simple8b_tokens": token_output.op1,
+        "op4_bitmap_queue_bpe": byte_bpe.op4,
+        "op5_best_fit_packing": packing.op5,
     }
 
 
