@@ -64,8 +64,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shards: int | Non
 
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
                 for doc, found in zip(rows.column(0).to_pylist(), coder.encode([x or "" for x in rows.column(1).to_pylist()])):
                     doc_ids.append(NULL_ID if doc is None else doc)
                     ids.append(found + end)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import functools
 import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that a worker remembers at most, about 120 MB.
 CHUNK_LIMIT = 600_000
@@ -19,70 +20,119 @@ _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]")
 _RUN = re.compile(r"\s\s|[\t\r]|^\s|\s$")
 
 
-#: A chunk that is one token, whatever stands beside it, and so can keep others apart.
-WORD_MARK, BYTE_MARK = " ½ ", "\n"
+#: Marks that are a token of their own behind a word.
+TAILS = ",.;:!?"
 
 
-def word_chunks(text: str) -> list[str] | None:
-    """Chunks for a tokenizer that drops white space: its words; None if unsure."""
-    return None if _ODD.search(text) else text.split()
+def word_chunks(texts: list[str]) -> pa.ListArray:
+    """Chunks for a tokenizer that drops white space: words."""
+    return pc.ascii_split_whitespace(pa.array(texts, pa.string()))
 
 
-def byte_chunks(text: str) -> list[str] | None:
+def byte_chunks(texts: list[str]) -> pa.ListArray:
     """Chunks for a byte-level tokenizer whose tokens may begin with one space.
 
     A cut stands before a single space between two other characters, and on both sides
     of a single line feed: the pattern of such tokenizers lets a space only lead a
     token, and a line feed between other characters is a token of its own.
     """
-    if _ODD.search(text) or _RUN.search(text):
-        return None
-    return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if text else []
+    marked = [x.replace("\n", "\x00\n\x00").replace(" ", "\x00 ") for x in texts]
+    return pc.split_pattern(pa.array(marked, pa.string()), "\x00")
+
+
+def _whole_word(text: str) -> bool:
+    return _ODD.search(text) is not None
+
+
+def _whole_byte(text: str) -> bool:
+    return _ODD.search(text) is not None or _RUN.search(text) is not None
 
 
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    New chunks are encoded together, kept apart by ``mark``; its token id shows where
-    each begins. Chunks that hold the mark are encoded alone.
+    Most new chunks are stems: letters alone, in a byte-level vocabulary behind a space.
+    They are encoded in one string, and the sign of a word's end or start in the token
+    shows where each stem begins. Other chunks are encoded one by one.
     """
 
-    def __init__(self, path: str, chunks, mark: str, limit: int = CHUNK_LIMIT):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kind: str, limit: int = CHUNK_LIMIT):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.limit, self.mark = chunks, limit, mark
-        (self.mark_id,) = self._ids(mark)
-        self.known = {mark: self._ids(mark).tobytes()}
+        self.words = kind == "word"
+        self.chunks, self.whole = (word_chunks, _whole_word) if self.words else (byte_chunks, _whole_byte)
+        self.limit, self.known = limit, {"": b""}
+        self.stems = self.tokenizer
+        if self.words:  # stems are lower-case letters already: nothing to normalise or to split but spaces
+            self.stems = Tokenizer.from_file(path)
+            self.stems.normalizer = None
+            self.stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        tokens = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(tokens.values()) + 1, bool)
+        self.edge[[i for x, i in tokens.items() if (x.endswith("</w>") if self.words else x.startswith("\u0120"))]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _is_stem(self, chunk: str) -> bool:
+        return chunk.isalpha() if self.words else chunk[0] == " " and chunk[1:].isalpha()
+
+    def _split(self, chunk: str) -> tuple[str, ...]:
+        """Parts of a chunk that are tokens or stems of their own: a word in the case that
+        counts, and one mark behind it."""
+        word = chunk.lower() if self.words else chunk
+        if word[-1] in TAILS and len(word) > 1 and self._is_stem(word[:-1]):
+            return word[:-1], word[-1]
+        return (word,) if self._is_stem(word) else (chunk,)
+
     def _learn(self, chunks: list[str]) -> None:
-        sign = self.mark.strip() or self.mark
-        alone = [x for x in chunks if sign in x]
-        together = [x for x in chunks if sign not in x] if alone else chunks
+        together = [x for x in chunks if self._is_stem(x)]
+        alone = [x for x in chunks if not self._is_stem(x)]
         for at in range(0, len(together), 20_000):
             part = together[at : at + 20_000]
-            ids = self._ids(self.mark.join(part))
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:
+            text = (" " if self.words else "").join(part)
+            ids = np.array(self.stems.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.edge[ids])
+            ends = ends + 1 if self.words else np.append(ends[1:], len(ids))
+            if len(ends) != len(part):
                 alone += part
                 continue
-            data, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.known.update(zip(part, [data[i:j] for i, j in zip(starts, ends)]))
-        self.known.update((x, self._ids(x).tobytes()) for x in alone)
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)]))
+        if alone:
+            found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+            self.known.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(alone, found))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > self.limit:  # keep the older part: frequent chunks come early
             for key in list(known)[self.limit * 2 // 3 :]:
                 del known[key]
-        cut = [self.chunks(text) for text in texts]
-        self._learn(list(set(chain.from_iterable(x for x in cut if x)).difference(known)))
-        get = known.__getitem__
-        return [self._ids(text).tobytes() if x is None else b"".join(map(get, x)) for text, x in zip(texts, cut)]
+        found = list(map(known.get, chunks))
+        new = {chunk: self._split(chunk) for chunk, ids in zip(chunks, found) if ids is None}
+        if new:
+            self._learn(list({x for p in new.values() for x in p if x not in known}))
+            for chunk, p in new.items():
+                known[chunk] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
+            found = list(map(known.__getitem__, chunks))
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, text in enumerate(texts) if self.whole(text)}
+        cut = self.chunks(["" if i in whole else text for i, text in enumerate(texts)])
+        coded = cut.flatten().dictionary_encode()
+        parts = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        chunk = coded.indices.to_numpy()
+        n = sizes[chunk]
+        ends = np.cumsum(n)
+        first = (np.cumsum(sizes) - sizes)[chunk] - (ends - n)  # from place in the output to place in ids
+        out = ids[np.repeat(first, n) + np.arange(int(n.sum()))]
+        bounds = np.append(0, ends)[cut.offsets.to_numpy()].tolist()
+        return [self._ids(text).tobytes() if i in whole else out[bounds[i] : bounds[i + 1]].tobytes() for i, text in enumerate(texts)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -91,4 +141,4 @@ def encoder(path: str, kind: str) -> ChunkEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path, *{"word": (word_chunks, WORD_MARK), "byte": (byte_chunks, BYTE_MARK)}[kind])
+    return ChunkEncoder(path, kind)
