@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_bpe, packing, token_output, vector_dedup
+from quarry.llm import byte_bpe, packing, token_output, vector_dedup, vector_search
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simple8b_tokens": token_output.op1,
         "op4_bitmap_queue_bpe": byte_bpe.op4,
         "op5_best_fit_packing": packing.op5,
+        "op8_permutation_index": vector_search.op8,
         "op9_collision_projections": vector_dedup.op9,
     }
 
