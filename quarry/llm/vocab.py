@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers at most, about 120 MB.
-CHUNK_LIMIT = 600_000
+#: Chunks that a worker remembers at most, about 150 MB.
+CHUNK_LIMIT = 800_000
 #: Characters for which chunking was proven: ASCII without odd controls, Latin letters, dashes and quotes.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]")
 _RUN = re.compile(r"\s\s|[\t\r]|^\s|\s$")
@@ -40,14 +40,38 @@ def byte_chunks(texts: list[str]) -> pa.ListArray:
     return pc.split_pattern(pa.array(marked, pa.string()), "\x00")
 
 
-def _whole_word(text: str) -> bool:
+def whole_word(text: str) -> bool:
     return _ODD.search(text) is not None
 
 
-def _whole_byte(text: str) -> bool:
+def whole_byte(text: str) -> bool:
     return _ODD.search(text) is not None or _RUN.search(text) is not None
 
 
+def encode_chunks(texts: list[str], chunks, whole, lookup, encode, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and the bounds of each text's.
+
+    ``lookup`` gives the ids of distinct chunks as bytes; ``encode`` those of a text for
+    which ``whole`` says that it must not be cut.
+    """
+    uncut = {i: np.frombuffer(encode(text), kind) for i, text in enumerate(texts) if whole(text)}
+    cut = chunks(["" if i in uncut else text for i, text in enumerate(texts)])
+    coded = cut.flatten().dictionary_encode()
+    parts = lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+    known = np.frombuffer(b"".join(parts), kind)
+    chunk = coded.indices.to_numpy()
+    n = sizes[chunk]
+    ends = np.cumsum(n)
+    first = (np.cumsum(sizes) - sizes)[chunk] - (ends - n)  # from place in the output to place in known
+    ids = known[np.repeat(first, n) + np.arange(int(n.sum()))]
+    bounds = np.append(0, ends)[cut.offsets.to_numpy()]
+    if uncut:
+        each = [uncut.get(i, ids[bounds[i] : bounds[i + 1]]) for i in range(len(texts))]
+        ids, bounds = np.concatenate(each), np.cumsum([0, *map(len, each)])
+    return ids, bounds
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
@@ -62,7 +86,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = kind == "word"
-        self.chunks, self.whole = (word_chunks, _whole_word) if self.words else (byte_chunks, _whole_byte)
+        self.chunks, self.whole = (word_chunks, whole_word) if self.words else (byte_chunks, whole_byte)
         self.limit, self.known = limit, {"": b""}
         self.stems = self.tokenizer
         if self.words:  # stems are lower-case letters already: nothing to normalise or to split but spaces
@@ -120,19 +144,8 @@ class ChunkEncoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, text in enumerate(texts) if self.whole(text)}
-        cut = self.chunks(["" if i in whole else text for i, text in enumerate(texts)])
-        coded = cut.flatten().dictionary_encode()
-        parts = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        chunk = coded.indices.to_numpy()
-        n = sizes[chunk]
-        ends = np.cumsum(n)
-        first = (np.cumsum(sizes) - sizes)[chunk] - (ends - n)  # from place in the output to place in ids
-        out = ids[np.repeat(first, n) + np.arange(int(n.sum()))]
-        bounds = np.append(0, ends)[cut.offsets.to_numpy()].tolist()
-        return [self._ids(text).tobytes() if i in whole else out[bounds[i] : bounds[i + 1]].tobytes() for i, text in enumerate(texts)]
+        ids, bounds = encode_chunks(texts, self.chunks, self.whole, self._lookup, lambda text: self._ids(text).tobytes(), np.dtype("<u4"))
+        return [ids[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 @functools.lru_cache(maxsize=4)
