@@ -6,7 +6,8 @@ three levels of 64-bit words marks the ranks whose buckets hold anything, so tha
 find-first-set gives the next rank in three steps. A bucket yields its leftmost
 position first; an entry whose pair has changed since is stale and skipped. Work is
 linear in the bytes of a match, up to the order kept inside a bucket, which is what
-very long matches need. Short matches recur, so each worker remembers their ids.
+very long matches need. Short matches recur, so each worker remembers their ids, and
+looks up chunks of text (see ``vocab``) that no match crosses once for each batch.
 
 Defined cases: a null text is an empty text, with no ids; other columns are ignored;
 rows with the same doc_id are separate documents; an empty table gives no rows.
@@ -19,56 +20,20 @@ import functools
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.vocab import byte_chunks, encode_chunks, whole_byte
 from quarry.session import small_batches
 
 #: Matches of up to so many characters are remembered, so many of them at most.
-SHORT, REMEMBERED = 48, 500_000
-
-
-class RankQueue:
-    """Positions by rank; the least rank comes first, and in it the leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.middle = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.middle[a]
-        b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.middle[a] &= ~(1 << (b & 63))
-                if not self.middle[a]:
-                    self.top &= ~(1 << a)
-        return rank, position
+SHORT, REMEMBERED = 48, 1_000_000
+
+
+_BIT = [1 << k for k in range(64)]
 
 
 class ByteBpe:
@@ -78,38 +43,63 @@ class ByteBpe:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
-        self.known: dict[str, tuple[int, ...]] = {}
+        words = (max(ranks.values()) >> 6) + 1
+        self.low = [0] * words  # bit r & 63 of word r >> 6: rank r's bucket holds something
+        self.middle = [0] * ((words >> 6) + 1)  # the words of low that aren't 0; a third level fits one word
+        self.known: dict[str, bytes] = {"": b""}
 
     def encode_match(self, data: bytes) -> list[int]:
         """The ids of one match: merges by least rank, leftmost first."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(data)
+        get = self.ranks.get
+        whole = get(data)
         if whole is not None:
             return [whole]
         n = len(data)
-        get, push, pop = ranks.get, queue.push, queue.pop
+        low, middle, top, bit = self.low, self.middle, 0, _BIT
+        buckets: dict[int, list[int]] = {}
         end = list(range(1, n + 1))  # where the part that begins here ends; part i is data[i:end[i]]
         before = list(range(-1, n - 1))
-        pair = [None] * (n + 1)  # rank of the part that begins here with the next one
-        for i in range(n - 1):
-            rank = get(data[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
-        while (found := pop()) is not None:
-            rank, i = found
-            if pair[i] != rank:
+        pair = [get(data[i : i + 2]) for i in range(n)]  # rank of the part that begins here with the next
+        pair[n - 1] = None
+        fresh = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
+        while True:
+            for rank, i in fresh:
+                bucket = buckets.get(rank)
+                if bucket:
+                    heappush(bucket, i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    low[word] |= bit[rank & 63]
+                    middle[word >> 6] |= bit[word & 63]
+                    top |= bit[word >> 6]
+            if not top:
+                break
+            third = (top & -top).bit_length() - 1
+            second = middle[third]
+            word = third << 6 | (second & -second).bit_length() - 1
+            first = low[word]
+            rank = word << 6 | (first & -first).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[word] = first = first & (first - 1)
+                if not first:
+                    middle[third] = second = second & (second - 1)
+                    if not second:
+                        top &= top - 1
+            fresh = []
+            if pair[i] != rank:  # stale
                 continue
             j = end[i]
-            stop = end[j]
-            end[i] = stop
+            stop = end[i] = end[j]
             pair[j] = None
             if stop < n:
                 before[stop] = i
                 new = pair[i] = get(data[i : end[stop]])
                 if new is not None:
-                    push(new, i)
+                    fresh.append((new, i))
             else:
                 pair[i] = None
             h = before[i]
@@ -118,25 +108,42 @@ class ByteBpe:
                 if new != pair[h]:
                     pair[h] = new
                     if new is not None:
-                        push(new, h)
-        ids, i = [], 0
+                        fresh.append((new, h))
+        ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[data[i : end[i]]])
             i = end[i]
         return ids
 
-    def encode(self, text: str) -> array:
-        matches = self.pattern.findall(text)
+    def _encode(self, text: str) -> bytes:
+        """Ids of a text or chunk, its matches looked up or encoded."""
+        known, parts = self.known, []
+        for match in self.pattern.findall(text):
+            ids = known.get(match)
+            if ids is None:
+                ids = array("i", self.encode_match(match.encode())).tobytes()
+                if len(match) <= SHORT:
+                    known[match] = ids
+            parts.append(ids)
+        return b"".join(parts)
+
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
         known = self.known
-        for match in set(matches).difference(known):
-            if len(match) <= SHORT:
-                known[match] = tuple(self.encode_match(match.encode()))
-        get = known.get
-        parts = [get(m) or self.encode_match(m.encode()) for m in matches]
-        if len(known) > REMEMBERED:  # the first ones seen are the frequent ones
+        if len(known) > REMEMBERED:  # keep the older part: frequent matches come early
             for match in list(known)[REMEMBERED * 2 // 3 :]:
                 del known[match]
-        return array("i", chain.from_iterable(parts))
+        found = []
+        for chunk in chunks:
+            ids = known.get(chunk)
+            found.append(self._encode(chunk) if ids is None else ids)
+        return found
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end."""
+        return encode_chunks(texts, byte_chunks, whole_byte, self._lookup, self._encode, np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -156,10 +163,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks, pattern)
         for batch in batches:
-            found = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = np.frombuffer(b"".join(map(bytes, found)), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
+            ids, bounds = bpe.encode_batch([text or "" for text in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids array<int>")
 
