@@ -158,7 +158,7 @@ def coder(path: str, pattern: str) -> ByteBpe:
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 3000)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks, pattern)

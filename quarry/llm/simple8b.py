@@ -28,13 +28,11 @@ BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; 64 for those that only an escape can hold."""
-    out = np.zeros(len(values), np.uint8)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << step)
-        out[big] += step
-        rest[big] >>= np.uint64(step)
-    out += rest > 0
+    if not len(values) or values.max() < 1 << 53:  # exact as doubles: the exponent is the number of bits
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    high = np.frexp((values >> np.uint64(32)).astype(np.float64))[1]
+    low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    out = np.where(high > 0, high + 32, low).astype(np.uint8)
     out[out > 60] = 64
     return out
 
@@ -61,23 +59,20 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = max(k for k in level if k <= slots)
         low = level[base]
         most = np.maximum(low[:, :BLOCK], low[:, slots - base : slots - base + BLOCK])
-        choice[most <= BITS[selector]] = selector
+        np.copyto(choice, selector, where=most <= BITS[selector])
     position = np.zeros(blocks, np.int64)
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
-    starts, selectors, owners = [], [], []
-    alive = np.arange(blocks)
-    while len(alive):
-        at = position[alive]
-        chosen = choice[alive, at]
-        starts.append(alive * BLOCK + at)
-        selectors.append(chosen)
-        owners.append(alive)
-        position[alive] = at + SLOTS[chosen]
-        alive = alive[position[alive] < ends[alive]]
-    start, selector, owner = map(np.concatenate, (starts, selectors, owners))
-    order = np.argsort(start, kind="stable")
-    start, selector, owner = start[order], selector[order], owner[order]
+    steps = []  # of each step, where each block's next word starts, or -1 behind its end
+    row = np.arange(blocks)
+    while (alive := position < ends).any():
+        at = np.where(alive, position, 0)
+        steps.append(np.where(alive, position, -1))
+        position += np.where(alive, SLOTS[choice[row, at]], 0)
+    start = np.array(steps).T + BLOCK * row[:, None]
+    owner, step = np.nonzero(start >= BLOCK * row[:, None])
+    start = start[owner, step]
+    selector = choice.ravel()[start]
     size = 1 + (selector == 0)  # an escape takes two words
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)

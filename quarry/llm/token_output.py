@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shards: int | Non
     Each shard is one range of doc_id; what goes to the driver is one number a shard.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 3000)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +64,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shards: int | Non
 
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 4096):
+                rows = batch.slice(at, 4096)
                 for doc, found in zip(rows.column(0).to_pylist(), coder.encode([x or "" for x in rows.column(1).to_pylist()])):
                     doc_ids.append(NULL_ID if doc is None else doc)
                     ids.append(found + end)
