@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_bpe, packing, quality, token_output, toxicity, vector_dedup, vector_search
+from quarry.llm import byte_bpe, chat, packing, quality, token_output, toxicity, vector_dedup, vector_search
 
 
 def queries() -> dict:
     return {
         "op1_simple8b_tokens": token_output.op1,
         "op2_compression_toxicity": toxicity.op2,
+        "op3_prefix_target_chat": chat.op3,
         "op4_bitmap_queue_bpe": byte_bpe.op4,
         "op5_best_fit_packing": packing.op5,
         "op8_permutation_index": vector_search.op8,
