@@ -67,7 +67,7 @@ def drop_scratch(spark: SparkSession) -> None:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch of whole texts holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(6 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
