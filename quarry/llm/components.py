@@ -11,19 +11,26 @@ from quarry.session import materialize
 HOT_KEYS = 512
 
 
-def lookup(rows: DataFrame, key: str, known: DataFrame, how: str = "inner") -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, count: str) -> list:
+    """The keys, at most HOT_KEYS, that hold more than their share of all rows."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    hot = counts.where(F.col(count) * HOT_KEYS > max(total, HOT_KEYS * 64)).select(key)
+    return [row[0] for row in hot.limit(HOT_KEYS).collect()]
+
+
+def lookup(rows: DataFrame, key: str, known: DataFrame, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Joins ``known`` (unique by ``key``) to ``rows``, of which one key may hold most.
 
     The rows of ``known`` for hot keys, at most HOT_KEYS by definition, are broadcast;
-    all other keys are spread by an ordinary join. ``rows`` must be a written table.
+    all other keys are spread by an ordinary join. Without ``hot``, ``rows`` is counted
+    first and should be a written table.
     """
-    total = rows.count()
-    hot = rows.groupBy(key).count().where(F.col("count") * HOT_KEYS > max(total, HOT_KEYS * 64)).select(key)
-    hot_keys = [r[0] for r in hot.limit(HOT_KEYS).collect()]
-    if not hot_keys:
+    if hot is None:
+        hot = hot_keys(rows.groupBy(key).count(), key, "count")
+    if not hot:
         return rows.join(known, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot_keys), F.lit(False))
-    few = known.where(F.col(key).isin(hot_keys))
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = known.where(F.col(key).isin(hot))
     return rows.where(~is_hot).join(known, key, how).unionByName(rows.where(is_hot).join(F.broadcast(few), key, how))
 
 
