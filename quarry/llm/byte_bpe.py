@@ -30,7 +30,7 @@ from quarry.llm.vocab import byte_chunks, encode_chunks, whole_byte
 from quarry.session import small_batches
 
 #: Matches of up to so many characters are remembered, so many of them at most.
-SHORT, REMEMBERED = 48, 1_000_000
+SHORT, REMEMBERED = 48, 750_000
 
 
 _BIT = [1 << k for k in range(64)]
@@ -158,7 +158,7 @@ def coder(path: str, pattern: str) -> ByteBpe:
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
-    small_batches(docs.sparkSession, 3000)
+    small_batches(docs.sparkSession, 2000)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks, pattern)

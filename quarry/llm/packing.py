@@ -102,7 +102,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
     """The pieces of every document, with their ids if asked for."""
-    small_batches(docs.sparkSession, 3000)
+    small_batches(docs.sparkSession, 2000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, "byte")

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers at most, about 150 MB.
-CHUNK_LIMIT = 800_000
+#: Chunks that a worker remembers at most, about 130 MB.
+CHUNK_LIMIT = 650_000
 #: Characters for which chunking was proven: ASCII without odd controls, Latin letters, dashes and quotes.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]")
 _RUN = re.compile(r"\s\s|[\t\r]|^\s|\s$")
@@ -64,7 +64,10 @@ def encode_chunks(texts: list[str], chunks, whole, lookup, encode, kind) -> tupl
     n = sizes[chunk]
     ends = np.cumsum(n)
     first = (np.cumsum(sizes) - sizes)[chunk] - (ends - n)  # from place in the output to place in known
-    ids = known[np.repeat(first, n) + np.arange(int(n.sum()))]
+    place = np.int32 if len(known) + int(n.sum()) < 1 << 31 else np.int64
+    at = np.repeat(first.astype(place), n)
+    at += np.arange(len(at), dtype=place)
+    ids = known[at]
     bounds = np.append(0, ends)[cut.offsets.to_numpy()]
     if uncut:
         each = [uncut.get(i, ids[bounds[i] : bounds[i + 1]]) for i in range(len(texts))]
@@ -103,13 +106,21 @@ class ChunkEncoder:
     def _is_stem(self, chunk: str) -> bool:
         return chunk.isalpha() if self.words else chunk[0] == " " and chunk[1:].isalpha()
 
-    def _split(self, chunk: str) -> tuple[str, ...]:
-        """Parts of a chunk that are tokens or stems of their own: a word in the case that
-        counts, and one mark behind it."""
-        word = chunk.lower() if self.words else chunk
-        if word[-1] in TAILS and len(word) > 1 and self._is_stem(word[:-1]):
-            return word[:-1], word[-1]
-        return (word,) if self._is_stem(word) else (chunk,)
+    def _split(self, chunks: list[str]) -> tuple[list[str], list[str]]:
+        """Each chunk as a stem, a word in the case that counts, and the mark behind it or
+        nothing. A chunk that isn't so made is its own stem."""
+        whole = pa.array(chunks, pa.string())
+        word = pc.utf8_lower(whole) if self.words else whole
+        last = pc.utf8_slice_codeunits(word, -1)
+        marked = pc.is_in(last, pa.array(list(TAILS)))
+        stem = pc.if_else(marked, pc.utf8_slice_codeunits(word, 0, -1), word)
+        letters = stem if self.words else pc.utf8_slice_codeunits(stem, 1)
+        plain = pc.utf8_is_alpha(letters)
+        if not self.words:
+            plain = pc.and_(plain, pc.starts_with(stem, " "))
+        stem = pc.if_else(plain, stem, whole)
+        tail = pc.if_else(pc.and_(plain, marked), last, "")
+        return stem.to_numpy(zero_copy_only=False).tolist(), tail.to_numpy(zero_copy_only=False).tolist()
 
     def _learn(self, chunks: list[str]) -> None:
         together = [x for x in chunks if self._is_stem(x)]
@@ -135,12 +146,13 @@ class ChunkEncoder:
             for key in list(known)[self.limit * 2 // 3 :]:
                 del known[key]
         found = list(map(known.get, chunks))
-        new = {chunk: self._split(chunk) for chunk, ids in zip(chunks, found) if ids is None}
+        new = [chunk for chunk, ids in zip(chunks, found) if ids is None]
         if new:
-            self._learn(list({x for p in new.values() for x in p if x not in known}))
-            for chunk, p in new.items():
-                known[chunk] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
-            found = list(map(known.__getitem__, chunks))
+            stems, tails = self._split(new)
+            self._learn(list({x for x in stems if x not in known}.union(set(tails).difference(known))))
+            full = known.__getitem__
+            known.update(zip(new, map(bytes.__add__, map(full, stems), map(full, tails))))
+            found = list(map(full, chunks))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
