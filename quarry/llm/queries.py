@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import byte_bpe, chat, jaccard_join, packing, quality, token_output, toxicity, vector_dedup, vector_search
+from quarry.llm import byte_bpe, chat, jaccard_join, maxent, packing, quality, token_output, toxicity, vector_dedup, vector_search
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_prefix_target_chat": chat.op3,
         "op4_bitmap_queue_bpe": byte_bpe.op4,
         "op5_best_fit_packing": packing.op5,
+        "op6_hashed_maxent": maxent.op6,
         "op7_parity_sketch_join": jaccard_join.op7,
         "op8_permutation_index": vector_search.op8,
         "op9_collision_projections": vector_dedup.op9,
