@@ -143,22 +143,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2500) -> MilModel:
     return fit(texts[1], texts[0])
 
 
-def score_documents(docs: DataFrame, model: MilModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and a double ``quality_score`` for every document."""
+def score_documents(docs: DataFrame, model: MilModel, keep: list[str], name: str = "quality_score") -> DataFrame:
+    """The columns ``keep`` and the score as a double ``name`` for every document."""
     small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(text).to_pylist()
             found = []
             for at in range(0, len(texts), 100):
                 x, starts = bags(texts[at : at + 100])
                 found.append(model.scores(x, starts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else [], pa.float64())], [*keep, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(found) if found else [], pa.float64())], [*keep, name])
 
-    chosen = docs.select(*keep, F.col("text").alias("text_to_score"))
+    chosen = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    text = chosen.columns.index("text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(score, f"{schema}, quality_score double")
+    return chosen.mapInArrow(score, f"{schema}, `{name}` double")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,18 +177,19 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_r
     return model
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and a double ``toxic_score`` for every document."""
+def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str], name: str = "toxic_score") -> DataFrame:
+    """The columns ``keep`` and the score as a double ``name`` for every document."""
     small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*keep, "toxic_score"])
+            found = [model.score(text) for text in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.float64())], [*keep, name])
 
-    chosen = docs.select(*keep, F.col("text").alias("text_to_score"))
+    chosen = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    text = chosen.columns.index("text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(score, f"{schema}, toxic_score double")
+    return chosen.mapInArrow(score, f"{schema}, `{name}` double")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
