@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.vocab import byte_chunks, encode_chunks, whole_byte
+from quarry.llm.vocab import byte_chunks, encode_chunks, split_stems, whole_byte
 from quarry.session import small_batches
 
 #: Matches of up to so many characters are remembered, so many of them at most.
@@ -132,10 +132,15 @@ class ByteBpe:
         if len(known) > REMEMBERED:  # keep the older part: frequent matches come early
             for match in list(known)[REMEMBERED * 2 // 3 :]:
                 del known[match]
+        stems, tails, plain = split_stems(chunks, words=False)
+        for stem, letters in {x: p for x, p in zip(stems, plain) if x not in known}.items():
+            if letters:  # one match by itself
+                ids = self.encode_match(stem.encode())
+                known[stem] = array("i", ids).tobytes()
         found = []
-        for chunk in chunks:
-            ids = known.get(chunk)
-            found.append(self._encode(chunk) if ids is None else ids)
+        for stem, tail, letters in zip(stems, tails, plain):
+            ids = known[stem] if letters else self._encode(stem)
+            found.append(ids + (known.get(tail) or self._encode(tail)) if tail else ids)
         return found
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

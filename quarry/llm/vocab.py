@@ -48,6 +48,23 @@ def whole_byte(text: str) -> bool:
     return _ODD.search(text) is not None or _RUN.search(text) is not None
 
 
+def split_stems(chunks: list[str], words: bool) -> tuple[list[str], list[str], list[bool]]:
+    """Each chunk as a stem, letters alone (behind a space if not ``words``) in the case that
+    counts, and the mark behind it or nothing. A chunk that isn't so made is its own stem."""
+    whole = pa.array(chunks, pa.string())
+    word = pc.utf8_lower(whole) if words else whole
+    last = pc.utf8_slice_codeunits(word, -1)
+    marked = pc.is_in(last, pa.array(list(TAILS)))
+    stem = pc.if_else(marked, pc.utf8_slice_codeunits(word, 0, -1), word)
+    letters = stem if words else pc.utf8_slice_codeunits(stem, 1)
+    plain = pc.utf8_is_alpha(letters)
+    if not words:
+        plain = pc.and_(plain, pc.starts_with(stem, " "))
+    stem = pc.if_else(plain, stem, whole)
+    tail = pc.if_else(pc.and_(plain, marked), last, "")
+    return tuple(x.to_numpy(zero_copy_only=False).tolist() for x in (stem, tail, plain))
+
+
 def encode_chunks(texts: list[str], chunks, whole, lookup, encode, kind) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after the other, and the bounds of each text's.
 
@@ -106,22 +123,6 @@ class ChunkEncoder:
     def _is_stem(self, chunk: str) -> bool:
         return chunk.isalpha() if self.words else chunk[0] == " " and chunk[1:].isalpha()
 
-    def _split(self, chunks: list[str]) -> tuple[list[str], list[str]]:
-        """Each chunk as a stem, a word in the case that counts, and the mark behind it or
-        nothing. A chunk that isn't so made is its own stem."""
-        whole = pa.array(chunks, pa.string())
-        word = pc.utf8_lower(whole) if self.words else whole
-        last = pc.utf8_slice_codeunits(word, -1)
-        marked = pc.is_in(last, pa.array(list(TAILS)))
-        stem = pc.if_else(marked, pc.utf8_slice_codeunits(word, 0, -1), word)
-        letters = stem if self.words else pc.utf8_slice_codeunits(stem, 1)
-        plain = pc.utf8_is_alpha(letters)
-        if not self.words:
-            plain = pc.and_(plain, pc.starts_with(stem, " "))
-        stem = pc.if_else(plain, stem, whole)
-        tail = pc.if_else(pc.and_(plain, marked), last, "")
-        return stem.to_numpy(zero_copy_only=False).tolist(), tail.to_numpy(zero_copy_only=False).tolist()
-
     def _learn(self, chunks: list[str]) -> None:
         together = [x for x in chunks if self._is_stem(x)]
         alone = [x for x in chunks if not self._is_stem(x)]
@@ -148,7 +149,7 @@ class ChunkEncoder:
         found = list(map(known.get, chunks))
         new = [chunk for chunk, ids in zip(chunks, found) if ids is None]
         if new:
-            stems, tails = self._split(new)
+            stems, tails, _ = split_stems(new, self.words)
             self._learn(list({x for x in stems if x not in known}.union(set(tails).difference(known))))
             full = known.__getitem__
             known.update(zip(new, map(bytes.__add__, map(full, stems), map(full, tails))))
