@@ -37,22 +37,22 @@ def lookup(rows: DataFrame, key: str, known: DataFrame, how: str = "inner", hot:
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(id, component_id) of every id in ``edges`` (columns a, b): the least id reachable.
 
-    Alternates two steps until nothing changes: every id takes the least label among its
-    own and its neighbours', and then the label of its label. Labels meet edges in
-    shuffles only; each round is a written table, and the driver gets one count a round.
+    Alternates two steps: every id takes the least label among its own and its neighbours',
+    and then the label of its label, until the first step changes nothing. Labels meet
+    edges in shuffles only; each round is a written table, and the driver gets only
+    whether it changed anything and the few hot ids.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.where("a <> b").distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")), f"{name}-labels")
+    both = materialize(both.where("a <> b").distinct(), f"{name}-edges", small=True)
+    hot = hot_keys(both.groupBy("b").count(), "b", "count")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c"))
     for _ in range(most_rounds):
-        near = lookup(both, "b", labels.select(F.col("id").alias("b"), "c")).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        stepped = materialize(labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c")), f"{name}-step")
+        near = lookup(both, "b", labels.select(F.col("id").alias("b"), "c"), hot=hot).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        stepped = materialize(labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c")), f"{name}-step", small=True)
         jump = stepped.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        jumped = lookup(stepped, "c", jump).select("id", "old", F.least("c", "up").alias("c"))
-        jumped = materialize(jumped, f"{name}-labels")
-        labels = jumped.select("id", "c")
-        if jumped.where("c <> old").isEmpty():
+        labels = lookup(stepped.select("id", "c"), "c", jump).select("id", F.least("c", "up").alias("c"))
+        if stepped.where("c <> old").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle; raise most_rounds")
-    return labels.select("id", F.col("c").alias("component_id"))
+    return materialize(labels.select("id", F.col("c").alias("component_id")), f"{name}-labels", small=True)

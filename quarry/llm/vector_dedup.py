@@ -111,8 +111,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, projections: in
     good = good.where(F.size("embedding") == dim)
     # classes of equal vectors
     keyed = good.withColumn("key", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ",").cast("binary"), 256))
-    members = materialize(keyed.select("vec_id", "key"), "vector-members")
-    sizes = materialize(members.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")), "vector-classes")
+    members = materialize(keyed.select("vec_id", "key"), "vector-members", small=True)
+    sizes = materialize(members.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")), "vector-classes", small=True)
     first = keyed.join(sizes.withColumnRenamed("class_id", "vec_id"), ["vec_id", "key"], "left_semi").dropDuplicates(["vec_id", "key"])
     window = window_sd * math.sqrt(2 - 2 * threshold)
     need = calibrate(max(dim, 1), projections, window, threshold, miss)
@@ -133,7 +133,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, projections: in
     placed = first.select("vec_id", "key", "embedding").mapInArrow(project, "vec_id long, key string, unit array<double>, line_values array<double>, slab array<int>")
     placed = placed.join(sizes.select("key", "n"), "key").withColumn("node", F.xxhash64("key"))
     placed = materialize(placed, "vector-lines")
-    cells = materialize(placed.groupBy("slab").agg(F.count("*").alias("rows")), "vector-cells")
+    cells = materialize(placed.groupBy("slab").agg(F.count("*").alias("rows")), "vector-cells", small=True)
     counted = placed.join(F.broadcast(cells), "slab")  # slabs as wide as the window: a few on each of the first lines
     chunks = F.greatest(F.ceil(F.col("rows") / CHUNK), F.lit(1)).cast("int")
     counted = counted.withColumn("chunks", chunks).withColumn("chunk", F.pmod("node", F.col("chunks")).cast("int"))
@@ -186,9 +186,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, projections: in
     linked = met.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-components")
     classes = sizes.withColumn("node", F.xxhash64("key")).join(linked, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
-    classes = materialize(classes.select("key", "class_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "node").alias("c")), "vector-results")
-    heads = materialize(classes.groupBy("c").agg(F.min("class_id").alias("component_id")), "vector-heads")
-    classes = materialize(lookup(classes, "c", heads), "vector-named")
+    classes = materialize(classes.select("key", "class_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "node").alias("c")), "vector-results", small=True)
+    heads = materialize(classes.groupBy("c").agg(F.min("class_id").alias("component_id")), "vector-heads", small=True)
+    classes = materialize(lookup(classes, "c", heads), "vector-named", small=True)
     known = lookup(members, "key", classes.select("key", "n", "links", "component_id"))
     known = known.select("vec_id", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component_id")
     rest = rows.where(~(usable(F.col("embedding")) & (F.size("embedding") == dim))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
