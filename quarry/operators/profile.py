@@ -75,7 +75,7 @@ def pearson(x: Column, y: Column) -> Column:
     cov = n * F.sum(a * b) - F.sum(a) * F.sum(b)
     spread = F.sqrt(F.greatest(n * F.sum(a * a) - F.sum(a) * F.sum(a), F.lit(0.0))) * F.sqrt(F.greatest(n * F.sum(b * b) - F.sum(b) * F.sum(b), F.lit(0.0)))
     r = F.when((n <= 1) | (spread <= 2.220446049250313e-16), 0.0).otherwise(F.try_divide(cov, spread))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(F.isnan(r), r).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def correlations(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
