@@ -1,8 +1,9 @@
-"""Queries of the training-data operators; none of them can be written in SQL."""
+"""Queries of the training-data operators. Those without SQL here depend on tokenizers or
+models, or are approximate by contract; tests hold them against brute force."""
 
 from __future__ import annotations
 
-from quarry.llm import byte_bpe, chat, jaccard_join, maxent, packing, quality, token_output, toxicity, vector_dedup, vector_search
+from quarry.llm import byte_bpe, chat, jaccard_join, maxent, oracles, packing, quality, token_output, toxicity, vector_dedup, vector_search
 
 
 def queries() -> dict:
@@ -21,4 +22,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_prefix_target_chat": oracles.OP3,
+        "op7_parity_sketch_join": oracles.OP7,
+        "op9_collision_projections": oracles.OP9,
+    }
