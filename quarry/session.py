@@ -46,6 +46,27 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
 
 
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many intermediates exist; a mark for ``drop_since``."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Deletes the intermediates written since a mark, but for the last ``keep`` of them."""
+    end = len(_written) - keep
+    for path in _written[mark:end]:
+        _delete(spark, path)
+    del _written[mark:end]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a reader of that table.
 
@@ -57,14 +78,14 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
         df = df.coalesce(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes this application's intermediates, once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
+    _written.clear()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
