@@ -76,7 +76,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, shards: int | Non
         if doc_ids:
             yield segment()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(shards, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    # bounds of the ranges from the ids alone: dealing by range would read all texts for them
+    cuts = [k / shards for k in range(1, shards)] or [0.5]
+    bounds = rows.agg(F.percentile_approx("doc_id", cuts, 20 * shards).alias("b")).first().b or []
+    shard = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < F.col("doc_id")))
+    dealt = rows.repartitionById(shards, shard.cast("int"))
     segments = materialize(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SEGMENT_SCHEMA), "tokens")
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
     base, bases = 0, []
