@@ -46,6 +46,7 @@ class ByteBpe:
         words = (max(ranks.values()) >> 6) + 1
         self.low = [0] * words  # bit r & 63 of word r >> 6: rank r's bucket holds something
         self.middle = [0] * ((words >> 6) + 1)  # the words of low that aren't 0; a third level fits one word
+        self.pair_ranks = [[ranks.get(bytes((a, b))) for b in range(256)] for a in range(256)]
         self.known: dict[str, bytes] = {"": b""}
 
     def encode_match(self, data: bytes) -> list[int]:
@@ -55,41 +56,40 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         n = len(data)
-        low, middle, top, bit = self.low, self.middle, 0, _BIT
+        low, middle, top, bit, first_ranks = self.low, self.middle, 0, _BIT, self.pair_ranks
         buckets: dict[int, list[int]] = {}
         end = list(range(1, n + 1))  # where the part that begins here ends; part i is data[i:end[i]]
         before = list(range(-1, n - 1))
-        pair = [get(data[i : i + 2]) for i in range(n)]  # rank of the part that begins here with the next
-        pair[n - 1] = None
-        fresh = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
-        while True:
-            for rank, i in fresh:
+        pair = [first_ranks[a][b] for a, b in zip(data, data[1:])]  # rank of the part that begins here with the next
+        pair.append(None)
+        for i, rank in enumerate(pair):  # pushes are written out, since calls would cost as much as they do
+            if rank is not None:
                 bucket = buckets.get(rank)
-                if bucket:
-                    heappush(bucket, i)
+                if bucket is not None:
+                    bucket.append(i)
                 else:
                     buckets[rank] = [i]
                     word = rank >> 6
                     low[word] |= bit[rank & 63]
                     middle[word >> 6] |= bit[word & 63]
                     top |= bit[word >> 6]
-            if not top:
-                break
+        while top:
             third = (top & -top).bit_length() - 1
             second = middle[third]
             word = third << 6 | (second & -second).bit_length() - 1
             first = low[word]
             rank = word << 6 | (first & -first).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
                 low[word] = first = first & (first - 1)
                 if not first:
                     middle[third] = second = second & (second - 1)
                     if not second:
                         top &= top - 1
-            fresh = []
             if pair[i] != rank:  # stale
                 continue
             j = end[i]
@@ -99,7 +99,15 @@ class ByteBpe:
                 before[stop] = i
                 new = pair[i] = get(data[i : end[stop]])
                 if new is not None:
-                    fresh.append((new, i))
+                    bucket = buckets.get(new)
+                    if bucket is not None:
+                        heappush(bucket, i)
+                    else:
+                        buckets[new] = [i]
+                        word = new >> 6
+                        low[word] |= bit[new & 63]
+                        middle[word >> 6] |= bit[word & 63]
+                        top |= bit[word >> 6]
             else:
                 pair[i] = None
             h = before[i]
@@ -108,11 +116,20 @@ class ByteBpe:
                 if new != pair[h]:
                     pair[h] = new
                     if new is not None:
-                        fresh.append((new, h))
+                        bucket = buckets.get(new)
+                        if bucket is not None:
+                            heappush(bucket, h)
+                        else:
+                            buckets[new] = [h]
+                            word = new >> 6
+                            low[word] |= bit[new & 63]
+                            middle[word >> 6] |= bit[word & 63]
+                            top |= bit[word >> 6]
         ids, i, ranks = [], 0, self.ranks
         while i < n:
-            ids.append(ranks[data[i : end[i]]])
-            i = end[i]
+            j = end[i]
+            ids.append(ranks[data[i:j]])
+            i = j
         return ids
 
     def _encode(self, text: str) -> bytes:
