@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers at most, about 145 MB.
-CHUNK_LIMIT = 720_000
+#: Chunks that a worker remembers at most, about 110 MB.
+CHUNK_LIMIT = 550_000
 #: Characters for which chunking was proven: ASCII without odd controls, Latin letters, dashes and quotes.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]")
 _RUN = re.compile(r"\s\s|[\t\r]|^\s|\s$")
