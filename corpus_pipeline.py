@@ -57,7 +57,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in packed sequences."""
-    return packing.pack_documents(docs)
+    # workers still hold what earlier stages used
+    return packing.pack_documents(docs, remembered=500_000)
 
 
 STAGES = [

@@ -100,12 +100,13 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return runs
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
-    """The pieces of every document, with their ids if asked for."""
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, remembered: int = 800_000) -> DataFrame:
+    """The pieces of every document, with their ids if asked for. A worker remembers the ids
+    of so many chunks: memory against time, with the same results."""
     small_batches(docs.sparkSession, 2000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, "byte")
+        coder = encoder(tokenizer, "byte", remembered)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, parts = [], []
@@ -153,9 +154,9 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, with_ids: bool = False, remembered: int = 800_000) -> DataFrame:
     """All pieces of the documents with their places."""
-    return place_pieces(materialize(cut_pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces"), capacity)
+    return place_pieces(materialize(cut_pieces(docs, tokenizer, end_id, capacity, with_ids, remembered), "pieces"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
@@ -165,11 +166,11 @@ def sequences(placed: DataFrame) -> DataFrame:
     return grouped.select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.offset").alias("offsets"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, remembered: int = 800_000) -> DataFrame:
     """With the production parameters: byte-level vocabulary, end id 0, 2048 tokens."""
     from public_tokenizers import path
 
-    placed = pack(docs, path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    placed = pack(docs, path("byte_bpe_50k.json"), end_id=0, capacity=2048, remembered=remembered)
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
 
 

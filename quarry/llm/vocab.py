@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers at most, about 110 MB.
-CHUNK_LIMIT = 550_000
+#: Chunks that a worker remembers at most, about 130 MB.
+CHUNK_LIMIT = 650_000
 #: Characters for which chunking was proven: ASCII without odd controls, Latin letters, dashes and quotes.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]")
 _RUN = re.compile(r"\s\s|[\t\r]|^\s|\s$")
@@ -162,9 +162,9 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, kind: str) -> ChunkEncoder:
+def encoder(path: str, kind: str, limit: int = CHUNK_LIMIT) -> ChunkEncoder:
     """One encoder for each worker process; ``kind`` is ``word`` or ``byte``."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path, kind)
+    return ChunkEncoder(path, kind, limit)
