@@ -133,12 +133,10 @@ b AS (SELECT *, CASE WHEN better IS NULL THEN loss WHEN better > 0 THEN least(lo
 SELECT strategy, experiment, pairs, round(CASE WHEN pairs < 8 THEN NULL WHEN win IS NOT NULL THEN greatest(0.125, least(8.0, CASE WHEN win > 0 THEN win * 0.5 ELSE 500.0 / 8 END / 500.0)) WHEN losses >= 8 AND target > 0 THEN greatest(0.125, least(8.0, target / 500.0)) END, 6) AS multiplier FROM b""",
 )
 def calibrated_thresholds(spark, d):
-    """Multipliers from the last 128 earlier pairs, for each strategy's last 400 experiments."""
+    """Multipliers from the last 128 earlier pairs, for every experiment of each strategy."""
     rows = candidate_deltas(spark, d).withColumnRenamed("delta", "screen_delta")
     prior = g.prior_window(rows, "strategy", ["experiment", "stem"], "experiment")
-    last = prior.groupBy("strategy").agg(F.max("experiment").alias("last"))
-    recent = prior.join(F.broadcast(last), "strategy").where("experiment > last - 400 AND size(prior) > 0")
-    return rounded(recent.select("strategy", "experiment", F.size("prior").cast("long").alias("pairs"), g.calibrated_multiplier(F.col("prior"), 500.0, 20000.0).alias("multiplier")))
+    return rounded(prior.select("strategy", "experiment", F.size("prior").cast("long").alias("pairs"), g.calibrated_multiplier(F.col("prior"), 500.0, 20000.0).alias("multiplier")))
 
 
 @query(
