@@ -46,7 +46,7 @@ def unused_sources_anti(spark, d):
 def incoming_statistics(spark, d):
     """Edges into focuses with their sources' statistics."""
     into = table(spark, d, "customer").select(F.col("c_custkey").alias("from_id"), F.col("c_nationkey").alias("to_id"))
-    focus = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("id"))
+    focus = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
     stats = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("orders"))
     return g.incoming_statistics(into, focus, stats).select("to_id", "from_id", F.coalesce("orders", F.lit(0)).alias("orders"))
 
@@ -78,7 +78,7 @@ SELECT h.graft, CASE WHEN p THEN 'present' WHEN coalesce(a, true) THEN 'applicab
 def graft_states(spark, d):
     """Grafts present, applicable or not."""
     lines = table(spark, d, "lineitem")
-    parts = lines.where("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("graft"), F.col("l_partkey").alias("id"), "l_quantity")
+    parts = lines.select(F.col("l_orderkey").alias("graft"), F.col("l_partkey").alias("id"), "l_quantity")
     return g.classify_grafts(parts.where("l_quantity > 25"), parts, lines.where("l_orderkey % 3 = 0").select(F.col("l_partkey").alias("id")))
 
 

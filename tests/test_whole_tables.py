@@ -52,3 +52,27 @@ def test_calibrated_thresholds_of_every_experiment(spark, sf):
         assert got[key][0] == pairs
         assert (got[key][1] is None) == (m is None), key
         assert m is None or math.isclose(got[key][1], m, rel_tol=1e-6, abs_tol=2e-6), key
+
+
+def test_graft_states_of_every_order(spark, sf):
+    lines = pq.read_table(f"{sf}/lineitem.parquet").to_pylist()
+    there = {r["l_partkey"] for r in lines if r["l_orderkey"] % 3 == 0}
+    parts, required = defaultdict(list), defaultdict(list)
+    for r in lines:
+        parts[r["l_orderkey"]].append(r["l_partkey"] in there)
+        if r["l_quantity"] > 25:
+            required[r["l_orderkey"]].append(r["l_partkey"] in there)
+    want = {k: "present" if all(v) else "applicable" if all(required[k]) else "inapplicable" for k, v in parts.items()}
+    rows = registry.queries()["graft_states"](spark, sf).collect()
+    assert len(rows) == len(want) and {r.graft: r.state for r in rows} == want
+
+
+def test_incoming_statistics_of_every_nation(spark, sf):
+    read = lambda name: pq.read_table(f"{sf}/{name}.parquet").to_pylist()
+    orders = defaultdict(int)
+    for r in read("orders"):
+        orders[r["o_custkey"]] += 1
+    nations = {r["n_nationkey"] for r in read("nation")}
+    want = sorted((r["c_nationkey"], r["c_custkey"], orders[r["c_custkey"]]) for r in read("customer") if r["c_nationkey"] in nations)
+    rows = registry.queries()["incoming_statistics"](spark, sf).collect()
+    assert sorted((r.to_id, r.from_id, r.orders) for r in rows) == want
