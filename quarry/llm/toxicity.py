@@ -1,7 +1,9 @@
 """Operator 2: toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the passages of
-toxic documents whose byte 6-grams are rare in ordinary ones. A text is cut at spaces
+Two zstandard dictionaries are trained: one on all windows of the ordinary texts, one on
+the words of toxic texts that have a telling byte 6-gram, eight words a sample: one in at
+least 2 % (and 3) of the toxic texts, whose share of them is over 12 times that of ordinary
+ones. A text is cut at spaces
 into windows. Each window is compressed with the ordinary dictionary, and with the toxic
 one standing before it; how many bytes the toxic dictionary saves is the window's gain,
 near 0 for ordinary text. Documents are compared by their greatest gains, the sum of
@@ -137,7 +139,7 @@ def dictionaries(toxic: list[str], ordinary: list[str], ordinary_bytes: int = 16
             word = b" " + word + b" "
             if any(word[i : i + GRAM] in telling for i in range(len(word) - GRAM + 1)):
                 passages.append(word)
-    ordinary_windows = [w for text in ordinary for w in windows(text, 256)][:20_000]
+    ordinary_windows = [w for text in ordinary for w in windows(text, 256)]
     return _trained(ordinary_bytes, ordinary_windows), _trained(toxic_bytes, [b" ".join(passages[i : i + 8]) for i in range(0, len(passages), 8)])
 
 
