@@ -192,6 +192,17 @@ def prior_confidence(age_hours: Column, corpus: Column, source: Column, half_lif
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), age * corpus * source))
 
 
+def candidate_arm(follow_up: Column, neighbourhood: Column) -> Column:
+    """[P15] Arm of a candidate by its nullable structs: follow-ups are excluded; those with a
+    region link to another neuron than the root are adjacent, all others isolated."""
+    return F.when(follow_up.isNotNull(), "excluded").when(neighbourhood.isNotNull() & ~neighbourhood["role"].eqNullSafe("root"), "adjacent").otherwise("isolated")
+
+
+def targets_root(neighbourhood: Column) -> Column:
+    """[P15] Whether a candidate's region link names the root."""
+    return F.coalesce(neighbourhood["role"] == "root", F.lit(False))
+
+
 def stack_scale(k: Column) -> Column:
     """[G14] Weight scale where k variants add to one target."""
     return F.when(k <= 1, 1.0).otherwise(F.pow(k.cast("double"), F.lit(-0.5)))
