@@ -7,8 +7,12 @@ lost without losing the data, and no machine-local folder is used.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,39 +36,69 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str
 
 
 def share_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it isn't installed."""
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if REPO not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
+    """Lets Python workers import this package when it isn't installed: by its path where
+    they share the driver's disk, else as an archive that Spark ships to every executor."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local":
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if REPO not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([REPO, *paths])
+        return
+    if getattr(context, "_quarry_shipped", False):
+        return
+    folder = tempfile.mkdtemp()  # the driver serves the archive from here as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "quarry_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for top, _, names in os.walk(os.path.join(REPO, "quarry")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    out.write(path, os.path.relpath(path, REPO))
+    context.addPyFile(archive)
+    context._quarry_shipped = True
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediates; set here only where the cluster set none."""
+    """The shared folder for intermediates, which a cluster must name; only a session in
+    one process, as in tests, has a default."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master.startswith("local[") or master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "/tmp/quarry-checkpoints"
     return f"{root.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
 
 
-_written: list[str] = []
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written() -> int:
-    """How many intermediates exist; a mark for ``drop_since``."""
-    return len(_written)
+class Scratch:
+    """The intermediates of one operator call, which deletes each when its last reader is done."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
-def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
-    """Deletes the intermediates written since a mark, but for the last ``keep`` of them."""
-    end = len(_written) - keep
-    for path in _written[mark:end]:
-        _delete(spark, path)
-    del _written[mark:end]
+    def write(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """``materialize``, remembered for ``drop``."""
+        out = materialize(df, name, small)
+        self._paths[id(out)] = out, out._quarry_path
+        return out
 
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self._paths.pop(id(df), (None, None))
+            if path:
+                _delete(self.spark, path)
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def close(self, *keep: DataFrame) -> None:
+        """Deletes everything but what ``keep`` reads."""
+        kept = {id(df) for df in keep}
+        self.drop(*[df for key, (df, _) in list(self._paths.items()) if key not in kept])
 
 
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
@@ -78,20 +112,24 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
         df = df.coalesce(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes this application's intermediates, once its results are written."""
     _delete(spark, scratch_root(spark))
-    _written.clear()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch of whole texts holds in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 6) -> None:
+    """Bounds what one Arrow batch of whole texts holds in a Python worker.
+
+    Plans are made when a result is read, after the operator has returned, so the bounds
+    stay set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(6 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
