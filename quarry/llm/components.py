@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import materialize
+from quarry.session import Scratch
 
 #: A key is hot above this share of all rows, so there are at most HOT_KEYS hot keys.
 HOT_KEYS = 512
@@ -19,7 +23,7 @@ def hot_keys(counts: DataFrame, key: str, count: str) -> list:
 
 
 def lookup(rows: DataFrame, key: str, known: DataFrame, how: str = "inner", hot: list | None = None) -> DataFrame:
-    """Joins ``known`` (unique by ``key``) to ``rows``, of which one key may hold most.
+    """Joins ``known`` (unique by ``key``, narrow rows only) to ``rows``, of which one key may hold most.
 
     The rows of ``known`` for hot keys, at most HOT_KEYS by definition, are broadcast;
     all other keys are spread by an ordinary join. Without ``hot``, ``rows`` is counted
@@ -34,25 +38,80 @@ def lookup(rows: DataFrame, key: str, known: DataFrame, how: str = "inner", hot:
     return rows.where(~is_hot).join(known, key, how).unionByName(rows.where(is_hot).join(F.broadcast(few), key, how))
 
 
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of two columns of links, and for each the least id that it reaches."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(ids))
+    x, y = place[: len(a)], place[len(a) :]
+    while len(x):
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        open_ = low < high
+        if not open_.any():
+            break
+        x, y = x[open_], y[open_]
+        np.minimum.at(label, high[open_], low[open_])
+        while True:  # to the label of the label, until it is its own
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return ids, ids[label]
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """At most one link an id and task, to the least id that the task's links reach: the same components."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def forest() -> tuple[np.ndarray, np.ndarray]:
+            ids, least = union_find(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            open_ = ids != least
+            return least[open_], ids[open_]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows > 1 << 20:  # what a task holds is bounded; a forest is already thin
+                held = [forest()]
+                rows = 0
+                if len(held[0][0]) > 1 << 19:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest()], ["a", "b"])
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(thin, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(id, component_id) of every id in ``edges`` (columns a, b): the least id reachable.
 
-    Alternates two steps: every id takes the least label among its own and its neighbours',
-    and then the label of its label, until the first step changes nothing. Labels meet
-    edges in shuffles only; each round is a written table, and the driver gets only
-    whether it changed anything and the few hot ids.
+    Links are thinned task by task first. Then two steps alternate: every id takes the
+    least label among its own and its neighbours', and then the label of its label, until
+    the first step changes nothing. Labels meet edges in shuffles only; each round is a
+    written table, and the driver gets only whether it changed anything and the few hot ids.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.where("a <> b").distinct(), f"{name}-edges", small=True)
+    scratch = Scratch(edges.sparkSession)
+    forest = thinned(edges.where("a <> b"))
+    both = forest.union(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = scratch.write(both.distinct(), f"{name}-edges", small=True)
     hot = hot_keys(both.groupBy("b").count(), "b", "count")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c"))
+    old = None
     for _ in range(most_rounds):
         near = lookup(both, "b", labels.select(F.col("id").alias("b"), "c"), hot=hot).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        stepped = materialize(labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c")), f"{name}-step", small=True)
-        jump = stepped.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        labels = lookup(stepped.select("id", "c"), "c", jump).select("id", F.least("c", "up").alias("c"))
+        stepped = scratch.write(labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c")), f"{name}-step", small=True)
+        if old is not None:
+            scratch.drop(old)
+        old = stepped
         if stepped.where("c <> old").isEmpty():
             break
+        jump = stepped.select(F.col("id").alias("c"), F.col("c").alias("up"))
+        labels = lookup(stepped.select("id", "c"), "c", jump).select("id", F.least("c", "up").alias("c"))
     else:
         raise RuntimeError("components did not settle; raise most_rounds")
-    return materialize(labels.select("id", F.col("c").alias("component_id")), f"{name}-labels", small=True)
+    result = scratch.write(stepped.select("id", F.col("c").alias("component_id")), f"{name}-labels", small=True)
+    scratch.close(result)
+    return result
