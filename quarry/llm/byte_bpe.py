@@ -158,6 +158,8 @@ class ByteBpe:
         for stem, tail, letters in zip(stems, tails, plain):
             ids = known[stem] if letters else self._encode(stem)
             found.append(ids + (known.get(tail) or self._encode(tail)) if tail else ids)
+        for stem in {x for x in stems if len(x) > SHORT}:  # what is remembered is bounded in bytes as well
+            known.pop(stem, None)
         return found
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,15 @@
 """Whole-text encoding with the ``tokenizers`` library, memoised by text chunk.
 
 A text is cut only where no token can cross, so that equal chunks are encoded once
-for each Python worker. Texts for which that isn't certain go to the library whole.
+for each Python worker. Texts for which that isn't certain go to the library whole, and so
+do those that hold an added token of the vocabulary, such as ``<|endoftext|>``, which the
+library takes for that one token.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
 
 import numpy as np
@@ -15,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Chunks that a worker remembers at most, about 130 MB.
 CHUNK_LIMIT = 650_000
+#: Longer chunks aren't remembered, so that what a worker holds is bounded in bytes as well.
+LONGEST = 64
 #: Characters for which chunking was proven: ASCII without odd controls, Latin letters, dashes and quotes.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧€]")
 _RUN = re.compile(r"\s\s|[\t\r]|^\s|\s$")
@@ -104,10 +109,13 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = kind == "word"
         self.chunks, self.whole = (word_chunks, whole_word) if self.words else (byte_chunks, whole_byte)
         self.limit, self.known = limit, {"": b""}
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lead = os.path.commonprefix(added) if all(not x[:1].isalnum() for x in added) else ""
+        self.lead = self.lead[: next((i for i, x in enumerate(self.lead) if x.isalpha()), len(self.lead))]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.stems = self.tokenizer
         if self.words:  # stems are lower-case letters already: nothing to normalise or to split but spaces
             self.stems = Tokenizer.from_file(path)
@@ -117,6 +125,12 @@ class ChunkEncoder:
         self.edge = np.zeros(max(tokens.values()) + 1, bool)
         self.edge[[i for x, i in tokens.items() if (x.endswith("</w>") if self.words else x.startswith("\u0120"))]] = True
 
+    def uncut(self, text: str) -> bool:
+        """Whether the library must see the text whole."""
+        if self.added is not None and self.lead in text and self.added.search(text):
+            return True
+        return self.whole(text)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -154,17 +168,17 @@ class ChunkEncoder:
             full = known.__getitem__
             known.update(zip(new, map(bytes.__add__, map(full, stems), map(full, tails))))
             found = list(map(full, chunks))
+            for chunk in {x for x in [*new, *stems] if len(x) > LONGEST}:
+                known.pop(chunk, None)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        ids, bounds = encode_chunks(texts, self.chunks, self.whole, self._lookup, lambda text: self._ids(text).tobytes(), np.dtype("<u4"))
+        ids, bounds = encode_chunks(texts, self.chunks, self.uncut, self._lookup, lambda text: self._ids(text).tobytes(), np.dtype("<u4"))
         return [ids[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, kind: str, limit: int = CHUNK_LIMIT) -> ChunkEncoder:
     """One encoder for each worker process; ``kind`` is ``word`` or ``byte``."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ChunkEncoder(path, kind, limit)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from quarry.llm import byte_bpe, chat, packing, simple8b, token_output, vocab
 from quarry.llm import queries as q
 
-ODD = ["a  b", "a \n b", "\n\nx", " x ", "it's a'll 'S", "É́ x́", "x\x1cy z", "a\tb c", "don't!!! $$$ <|endoftext|> ok", "", "  ", "\n", "a\nb\n c", "Straße ǅ İx ΑΣ ΑΣ. 日本", "a\r\nb", "end \n", "12 345 6", "½ ½x", "a,b, c.\nd", "word,, ,x", "x" * 3000, None]
+ODD = ["a  b", "a \n b", "\n\nx", " x ", "it's a'll 'S", "É́ x́", "x\x1cy z", "a\tb c", "don't!!! $$$ <|endoftext|> ok", "", "  ", "\n", "a\nb\n c", "Straße ǅ İx ΑΣ ΑΣ. 日本", "a\r\nb", "end \n", "12 345 6", "½ ½x", "a,b, c.\nd", "word,, ,x", "x" * 3000, "a <|endoftext|> b", "a<|startoftext|>b <|ENDOFTEXT|>", "<|endoftext|>" * 3, "tail <|endoftext", "y" * 70 + " " + "y" * 70, None]
 TABLE = "doc_id long, text string, start long, piece int, extra string"
 
 
@@ -29,7 +29,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
