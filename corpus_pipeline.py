@@ -24,14 +24,24 @@ def _free_name(docs: DataFrame, name: str) -> str:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    A null text counts as empty, and an empty one is scored as such; whole texts of any
+    length are scored; rows that repeat are scored, and go or stay, alike; a row without
+    doc_id is scored but trains nothing; without labels all documents stay; an empty table
+    gives no rows; other columns, whatever their names, are passed on.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     name = _free_name(docs, "quality_score")
     return quality.score_documents(docs, model, docs.columns, name).where(F.col(name) >= QUALITY_BAR).select(docs.columns)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic."""
+    """Documents that aren't predicted to be toxic.
+
+    Nulls, empty and very long texts, repeated rows, empty tables and other columns are
+    treated as in ``keep_good``; without labels all documents stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     name = _free_name(docs, "toxic_score")
     return toxicity.score_documents(docs, model, docs.columns, name).where(F.col(name) < TOXIC_BAR).select(docs.columns)
@@ -56,9 +66,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces in packed sequences."""
+    """The places of all pieces in packed sequences.
+
+    A null or empty text is one piece of the end's token; very long texts are cut; rows with
+    the same doc_id are packed each by itself, and so are those without one; an empty table
+    gives no rows; other columns are ignored.
+    """
     # workers still hold what earlier stages used
-    return packing.pack_documents(docs, remembered=500_000)
+    return packing.pack_documents(docs, remembered=150_000)
 
 
 STAGES = [
