@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.vocab import encoder
-from quarry.session import materialize, small_batches
+from quarry.session import materialize, small_batches, tidy
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLAN = "length int, first_rank long, end_rank long, per_bin int, first_bin long, offset int"
@@ -129,7 +129,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     found = docs.select(F.col("doc_id").cast("long"), "text")
-    return found.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return found.mapInArrow(tidy(cut), PIECES + ", ids array<int>" * with_ids)
 
 
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
