@@ -17,8 +17,9 @@ of its links, not the links.
 
 Defined cases: null, empty and zero vectors, vectors with null or non-finite components
 and vectors of another length than the commonest link with nothing; rows with the same
-vec_id are one vector each, and equal vectors are linked with each other; an empty table
-gives no rows; other columns are ignored.
+vec_id are one vector each, and equal vectors are linked with each other; a vector without
+vec_id takes part, gives no component id of its own and isn't kept; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,8 +113,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, projections: in
     # classes of equal vectors
     keyed = good.withColumn("key", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ",").cast("binary"), 256))
     members = materialize(keyed.select("vec_id", "key"), "vector-members", small=True)
-    sizes = materialize(members.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")), "vector-classes", small=True)
-    first = keyed.join(sizes.withColumnRenamed("class_id", "vec_id"), ["vec_id", "key"], "left_semi").dropDuplicates(["vec_id", "key"])
+    found = keyed.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
+    sizes = materialize(found, "vector-classes")
+    first = sizes.select(F.col("class_id").alias("vec_id"), "key", "embedding")
     window = window_sd * math.sqrt(2 - 2 * threshold)
     need = calibrate(max(dim, 1), projections, window, threshold, miss)
 
@@ -192,7 +194,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, projections: in
     known = lookup(members, "key", classes.select("key", "n", "links", "component_id"))
     known = known.select("vec_id", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component_id")
     rest = rows.where(~(usable(F.col("embedding")) & (F.size("embedding") == dim))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return known.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

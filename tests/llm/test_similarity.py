@@ -146,6 +146,9 @@ def test_vector_near_duplicates_against_brute_force(spark):
     assert all(got[i].n_links == near[i].sum() - 1 and got[i].component_id == want[i] and got[i].kept == (want[i] == i) for i in range(400))
     assert all(got[1000 + i].n_links == 0 and got[1000 + i].kept for i in range(len(ODD_VECTORS)))
     assert vector_dedup.near_duplicates(vectors(spark, [])).count() == 0
+    a, b = x[0].tolist(), (x[0] * np.float32(1.5)).tolist()  # a vector without id is a neighbour like any other
+    few = vector_dedup.near_duplicates(vectors(spark, [(None, a, 1, "s"), (5, b, 1, "s"), (5, b, 1, "s"), (9, x[1].tolist(), 1, "s")])).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in few) == [(-1, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (9, 0, 9, True)]
 
 
 def test_window_counts_are_collisions():
