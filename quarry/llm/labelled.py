@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,25 +11,24 @@ def remainder(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: dict[int, int], most_chars: int = 200_000) -> tuple[dict[int, list[str]], dict[int, int]]:
-    """Texts by label value, of each value the ``most`` labelled rows with the least hash;
-    and how many labelled rows there are of each value.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: dict[int, int]) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """Whole texts by label value, of each value the ``most`` labelled documents with the least
+    hash of their doc_id; and how many labelled rows of ``docs`` there are of each value.
 
-    Rows of the held-out remainder, and rows whose labels disagree or are null, are left
-    out, and so are texts over ``most_chars``, which bounds what the driver holds.
+    Only documents in ``docs`` count. Rows of the held-out remainder, without doc_id, or
+    whose labels disagree or are null are left out; a null text is empty. The doc_ids are
+    chosen from narrow columns; then one scan of the texts fetches the chosen ones.
     """
-    agreed = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z"))
-    agreed = agreed.where((F.col("y") == F.col("z")) & (remainder(modulus) != held_out)).select("doc_id", "y")
-    out: dict[int, list[str]] = {}
-    counts = {row.y: row.n for row in agreed.groupBy("y").agg(F.count("*").alias("n")).where(F.col("y").isin(list(most))).collect()}
-    for value, n in most.items():
-        chosen = agreed.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        ids = [row.doc_id for row in chosen.select("doc_id").collect()]
-        if not ids:
-            out[value] = []
-            continue
-        wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-        found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted), "doc_id")
-        rows = found.where(F.length("text").between(1, most_chars)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).collect()
-        out[value] = [row.text for row in rows]
-    return out, counts
+    agreed = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("z"))
+    agreed = agreed.where((F.col("y") == F.col("z")) & (remainder(modulus) != held_out) & F.col("y").isin(list(most))).select(F.col("doc_id").cast("long"), "y")
+    own = docs.select(F.col("doc_id").cast("long")).join(agreed, "doc_id").groupBy("doc_id", "y").agg(F.count("*").alias("n"))
+    counts = {row.y: row.n for row in own.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    bound = max(most.values())
+    by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = own.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= bound).collect()
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in chosen if r["rank"] <= most[r.y]], "doc_id long, y int")
+    found = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    in_order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= bound).select("y", "rank", "text").collect()
+    rows.sort(key=lambda r: r["rank"])
+    return {value: [r.text for r in rows if r.y == value and r["rank"] <= n] for value, n in most.items()}, counts

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.labelled import labelled_sample, remainder
-from quarry.session import small_batches
+from quarry.session import small_batches, tidy
 
 PASSAGE = 1024
 
@@ -159,7 +159,7 @@ def score_documents(docs: DataFrame, model: MilModel, keep: list[str], name: str
     chosen = docs.select(*keep, *([] if "text" in keep else ["text"]))
     text = chosen.columns.index("text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(score, f"{schema}, `{name}` double")
+    return chosen.mapInArrow(tidy(score), f"{schema}, `{name}` double")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

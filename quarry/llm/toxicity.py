@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained: one on all windows of the ordinary texts
 the words of toxic texts that have a telling byte 6-gram, eight words a sample: one in at
 least 2 % (and 3) of the toxic texts, whose share of them is over 12 times that of ordinary
 ones. A text is cut at spaces
-into windows. Each window is compressed with the ordinary dictionary, and with the toxic
+into windows, or after 256 bytes without one. Each window is compressed with the ordinary dictionary, and with the toxic
 one standing before it; how many bytes the toxic dictionary saves is the window's gain,
 near 0 for ordinary text. Documents are compared by their greatest gains, the sum of
 gains that reach the window threshold, and the number of windows; the thresholds, one
@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.labelled import labelled_sample, remainder
-from quarry.session import small_batches
+from quarry.session import small_batches, tidy
 
-WINDOW = 64
+WINDOW, LONGEST = 64, 256
 GRAM, HEAD = 6, 5
 
 
@@ -45,12 +45,17 @@ def spelled(text: str | None) -> bytes:
     return (" " + " ".join([w[:HEAD].upper() + w[HEAD:] for w in (text or "").lower().split()]) + " ").encode()
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    """Windows of at least ``size`` bytes that begin and end at a space."""
+def windows(text: str | None, size: int = WINDOW, longest: int = LONGEST) -> list[bytes]:
+    """Windows of at least ``size`` bytes that begin and end at a space; where none comes
+    within ``longest`` bytes, as in scripts without spaces, a window ends there."""
     data = spelled(text)
     out, at, end = [], 0, len(data) - 1
     while True:
-        cut = data.find(b" ", at + size)
+        cut = data.find(b" ", at + size, at + max(longest, size) + 1)
+        if cut < 0 and end - at > max(longest, size):
+            out.append(data[at : at + max(longest, size)])
+            at += max(longest, size)
+            continue
         if cut < 0 or cut >= end:
             out.append(data[at:])
             return out
@@ -191,7 +196,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str], name
     chosen = docs.select(*keep, *([] if "text" in keep else ["text"]))
     text = chosen.columns.index("text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(score, f"{schema}, `{name}` double")
+    return chosen.mapInArrow(tidy(score), f"{schema}, `{name}` double")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

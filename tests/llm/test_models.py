@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import maxent, quality, toxicity
 from quarry.llm.labelled import labelled_sample
@@ -27,7 +28,10 @@ def test_windows_cover_whole_texts():
     parts = toxicity.windows(text)
     assert b"".join(p[:-1] for p in parts) + b" " == toxicity.spelled(text)
     assert toxicity.windows(None) == [b"  "]
-    assert len(toxicity.windows("x" * 5000)) == 1
+    for text in ("x" * 5000, "漢字仮名" * 700, "spaced words then " + "y" * 3000 + " and more words " * 20):  # scripts without spaces
+        parts = toxicity.windows(text)
+        assert max(map(len, parts)) <= toxicity.LONGEST + 1 and len(parts) >= len(text) // toxicity.LONGEST
+        assert sum(map(len, parts)) >= len(toxicity.spelled(text))
 
 
 def test_toxicity_finds_words_it_learnt():
@@ -106,6 +110,10 @@ def test_sample_leaves_held_out_rows(spark):
     texts, counts = labelled_sample(docs, labels, "toxic", 4, 2, {0: 100, 1: 5})
     assert len(texts[1]) == 5 and counts[1] == sum(held(i, 4) != 2 for i in range(60) if i % 2)
     assert set(texts[0]) == {f"text {i}" for i in range(2, 60, 2) if held(i, 4) != 2}  # 0 has two labels
+    kept = docs.where("doc_id > 30").withColumn("text", F.expr("CASE WHEN doc_id % 4 = 0 THEN repeat('long text ', 30000) ELSE text END"))
+    texts, counts = labelled_sample(kept, labels, "toxic", 4, 2, {0: 100, 1: 100})
+    assert counts[0] == len(texts[0]) == sum(held(i, 4) != 2 for i in range(32, 60, 2))  # a stage's own rows, of any length
+    assert max(map(len, texts[0])) == 300_000
 
 
 def test_model_is_a_distribution():
