@@ -3,8 +3,10 @@ caches (W2-W5, W8-W14, W18, W19, J10, J11, J18, A37, A47, D2, D6-D8, G5-G11, K14
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,48 +53,60 @@ def agreed(value: Column) -> Column:
     return F.when(F.count_distinct(value) == 1, F.min(value))
 
 
-def decayed_evidence(df: DataFrame, journal: list[str], line: list[str], arm: str, decay: float = 0.9, retention: float = 0.25) -> DataFrame:
-    """[W8, A37] Evidence of each arm after the last row: every row decays what was before it,
-    and every accept scales what is up to and with it.
+SUMS = ["trials", "promotions", "score_gain", "cost_ms"]
 
-    The fold has a closed form: the weight of row i of N is decay^(N - i) times
-    retention^(accepts from i on).
+
+def decayed_evidence(df: DataFrame, journal: list[str], line: list[str], arm: str, decay: float = 0.9, retention: float = 0.25, experiment: list[str] | None = None) -> DataFrame:
+    """[W8, A37] Evidence of each arm after the last experiment: every experiment decays what
+    was before it, and one with an accept scales what is up to and with it.
+
+    ``experiment`` names the columns, in the journal's order, that the rows of an experiment
+    share; without it each row is one. The fold has a closed form: the weight of the rows of
+    experiment i of N is decay^(N - i) times retention^(accepted experiments from i on).
     """
+    experiment = experiment or line
     whole = Window.partitionBy(*journal)
-    w = ordered(journal, line)
-    accepts = F.sum(F.col("accepted").cast("int"))
-    weight = F.pow(F.lit(decay), F.count("*").over(whole) - F.row_number().over(w)) * F.pow(
-        F.lit(retention), accepts.over(whole) - accepts.over(w.rowsBetween(*RUNNING)) + F.col("accepted").cast("int")
-    )
-    rows = df.withColumn("weight", weight)
-    sums = {name: F.sum(F.col("weight") * F.col(name)).alias(name) for name in ("trials", "promotions", "score_gain", "cost_ms")}
-    found = rows.groupBy(*journal, arm).agg(*sums.values(), F.sum(F.col("weight") * F.col("accepted").cast("int")).alias("accepts"))
+    own = Window.partitionBy(*journal, *experiment)
+    so_far = Window.partitionBy(*journal).orderBy(*experiment)  # with all rows of the same experiment
+    rows = df.withColumn("_e", F.dense_rank().over(so_far)).withColumn("_won", F.max(F.col("accepted").cast("int")).over(own))
+    once = F.when(F.row_number().over(own.orderBy(*line)) == 1, F.col("_won")).otherwise(0)
+    rows = rows.withColumn("_once", once)
+    later = F.sum("_once").over(whole) - F.sum("_once").over(so_far) + F.col("_won")
+    rows = rows.withColumn("weight", F.pow(F.lit(decay), F.max("_e").over(whole) - F.col("_e")) * F.pow(F.lit(retention), later))
+    sums = [F.sum(F.col("weight") * F.col(name)).alias(name) for name in SUMS]
+    found = rows.groupBy(*journal, arm).agg(*sums, F.sum(F.col("weight") * F.col("accepted").cast("int")).alias("accepts"))
     return found.withColumn("value", reward_rate(F.col("score_gain"), F.col("promotions"), F.col("cost_ms")))
 
 
-def fold_evidence(df: DataFrame, journal: list[str], line: list[str], arm: str, decay: float = 0.9, retention: float = 0.25) -> DataFrame:
-    """[W8] The same as a fold by arm, which keeps one state of five numbers; for streams
-    see ``quarry.streaming``."""
+def experiment_weights(opens: np.ndarray, accepted: np.ndarray, decay: float, retention: float) -> tuple[np.ndarray, float]:
+    """[W8] For rows in order, of which ``opens`` begin an experiment: the weight of each after
+    the last one, and the factor of all that was before them."""
+    number = np.cumsum(opens) - 1
+    won = np.zeros(number[-1] + 1, bool)
+    won[number[accepted]] = True
+    later = np.cumsum(won[::-1])[::-1]
+    weight = decay ** np.arange(len(won) - 1, -1, -1.0) * retention**later
+    return weight[number], float(decay ** len(won) * retention ** int(won.sum()))
+
+
+def weighed_by_arm(rows: pd.DataFrame, arm: str, experiment: list[str], decay: float, retention: float) -> tuple[pd.DataFrame, float]:
+    """Sums by arm of rows in order, each by its weight, and the factor of what was before."""
+    ids = rows[experiment].to_numpy()
+    opens = np.append(True, (ids[1:] != ids[:-1]).any(axis=1))
+    accepted = rows["accepted"].to_numpy(bool)
+    weight, before = experiment_weights(opens, accepted, decay, retention)
+    weighed = rows[SUMS].mul(weight, axis=0).assign(accepts=weight * accepted)
+    return weighed.groupby(rows[arm].to_numpy(), sort=True).sum(), before
+
+
+def fold_evidence(df: DataFrame, journal: list[str], line: list[str], arm: str, decay: float = 0.9, retention: float = 0.25, experiment: list[str] | None = None) -> DataFrame:
+    """[W8] The same by journal in whole arrays; for streams see ``quarry.streaming``."""
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*journal, arm]) + ", trials double, promotions double, score_gain double, cost_ms double, accepts double"
-    sums = ["trials", "promotions", "score_gain", "cost_ms"]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(line)
-        state: dict = {}
-        for row in rows.itertuples():
-            for held in state.values():
-                for k in held:
-                    held[k] *= decay
-            held = state.setdefault(getattr(row, arm), dict.fromkeys([*sums, "accepts"], 0.0))
-            for k in sums:
-                held[k] += getattr(row, k)
-            if row.accepted:
-                held["accepts"] += 1
-                for held in state.values():
-                    for k in held:
-                        held[k] *= retention
+        found, _ = weighed_by_arm(rows.sort_values(line), arm, experiment or line, decay, retention)
         keys = rows[journal].iloc[0].tolist()
-        return pd.DataFrame([[*keys, a, *[h[k] for k in [*sums, "accepts"]]] for a, h in state.items()], columns=[*journal, arm, *sums, "accepts"])
+        return pd.DataFrame([[*keys, name, *values] for name, *values in found[[*SUMS, "accepts"]].itertuples()], columns=[*journal, arm, *SUMS, "accepts"])
 
     return df.groupBy(*journal).applyInPandas(fold, schema)
 
@@ -128,21 +142,23 @@ def cache_value(df: DataFrame, journal: list[str], line: list[str]) -> DataFrame
 def slots(arms: DataFrame, budget: int, floor: float = 0.2) -> DataFrame:
     """[G5, W11, W12] Slots by arm: a reserve for the least tried, the rest by optimistic value.
 
-    Shares are rounded down and the leftover goes to the largest remainders. The table
-    has one row an arm, a handful by definition, so its windows need no partition.
+    The reserve is the rounded share ``floor`` of the budget. Shares of the rest are rounded
+    down and the leftover goes to the largest remainders; a value that isn't positive gets no
+    share, and where none is, as in a pool without trials, the split is even. The table has
+    one row an arm, a handful by definition, so its windows need no partition.
     """
     every = Window.partitionBy(F.lit(0))
     value = reward_rate(F.col("score_gain"), F.col("promotions"), F.col("cost_ms"))
     optimism = F.lit(1.0) / (F.avg("cost_ms").over(every) / 1000.0 + 10.0)
     bonus = F.lit(0.5) * optimism * F.sqrt(F.log(F.sum("trials").over(every) + 1.0) / F.greatest(F.col("trials"), F.lit(1.0)))
-    n = F.count("*").over(every)
-    rows = arms.withColumn("value", value).withColumn("index", value + bonus).withColumn("n", n)
-    reserve = F.floor(F.lit(budget * floor))
+    reserve = min(int(min(floor, 1.0) * budget + 0.5), budget) if floor > 0 else 0
+    rows = arms.withColumn("value", value).withColumn("index", value + bonus).withColumn("n", F.count("*").over(every))
+    rows = rows.withColumn("clean", F.when((F.col("index") > 0) & ~F.isnan("index") & (F.col("index") < float("inf")), F.col("index")).otherwise(0.0))
     coldest = F.row_number().over(every.orderBy("trials", "arm"))
-    rows = rows.withColumn("reserved", F.floor(reserve / F.col("n")) + F.when(coldest <= reserve % F.col("n"), 1).otherwise(0))
-    left = F.lit(budget) - reserve
-    share = left * F.col("index") / F.sum("index").over(every)
-    rows = rows.withColumn("share", F.floor(share)).withColumn("fraction", share - F.floor(share))
+    rows = rows.withColumn("reserved", F.floor(F.lit(reserve) / F.col("n")) + F.when(coldest <= F.lit(reserve) % F.col("n"), 1).otherwise(0))
+    left, total = F.lit(budget - reserve), F.sum("clean").over(every)
+    rows = rows.withColumn("share", F.when(total > 0, left * F.try_divide(F.col("clean"), total)).otherwise(left * (F.lit(1.0) / F.col("n"))))
+    rows = rows.withColumn("fraction", F.col("share") - F.floor("share")).withColumn("share", F.floor("share"))
     spare = left - F.sum("share").over(every)
     rank = F.row_number().over(every.orderBy(F.desc("fraction"), "arm"))
     return rows.select("arm", "value", (F.col("reserved") + F.col("share") + F.when(rank <= spare, 1).otherwise(0)).cast("long").alias("slots"))
@@ -166,31 +182,48 @@ def merge_priors(measured: DataFrame, priors: DataFrame, confidence: float, most
     return both.select("arm", *summed, F.coalesce(F.try_divide(F.coalesce("p_trials", F.lit(0.0)), F.coalesce("trials", F.lit(0.0)) + F.coalesce("p_trials", F.lit(0.0))), F.lit(0.0)).alias("prior_share"))
 
 
+def tolerance_band(value: Column) -> Column:
+    """[P6] A band such that values within tolerance of each other are in the same or in
+    adjacent bands: as wide as twice the tolerance, linear near 0 and logarithmic beyond."""
+    size = F.abs(value)
+    scale = F.when(size <= 1e-3, size * 1e9).otherwise((F.log(size / 1e-3) + 1) * 1e6)
+    odd = value.isNull() | F.isnan(value) | (size == float("inf"))
+    return F.when(odd, F.lit(1 << 40)).otherwise(F.floor(F.signum(value) * scale / 2))
+
+
 def cache_misses(probes: DataFrame, cache: DataFrame, bucket: list[str], value: str, now: int | None = None, max_age: int = 604_800) -> DataFrame:
-    """[J10, P18, G9] Probes that no live cache entry of their bucket matches within tolerance:
-    an anti join on the bucket with the tolerance as a residual; no value matches no value."""
+    """[J10, P18, G9] Probes that no live cache entry of their bucket matches within tolerance;
+    no value matches no value.
+
+    An anti join on the bucket and the band of the value, each entry standing in its band
+    and both adjacent ones, with the tolerance as a residual on what shares a band.
+    """
     live = cache if now is None or max_age == 0 else cache.where(F.greatest(F.lit(now) - F.col("inserted"), F.lit(0)) < max_age)
-    c = live.alias("c")
-    same = [F.col(f"p.{b}") == F.col(f"c.{b}") for b in bucket]
+    band = tolerance_band(F.col(value))
+    c = live.select(*bucket, F.col(value), F.explode(F.array(band - 1, band, band + 1)).alias("_band")).alias("c")
+    p = probes.withColumn("_band", tolerance_band(F.col(value))).alias("p")
+    same = [F.col(f"p.{b}") == F.col(f"c.{b}") for b in [*bucket, "_band"]]
     close = (F.col(f"p.{value}").isNull() & F.col(f"c.{value}").isNull()) | tolerance_equal(F.col(f"p.{value}"), F.col(f"c.{value}"))
-    return probes.alias("p").join(c, reduce(lambda x, y: x & y, [*same, close]), "left_anti")
+    return p.join(c, reduce(lambda x, y: x & y, [*same, close]), "left_anti").drop("_band")
 
 
 def first_of_near(df: DataFrame, bucket: list[str], order: list[str], value: str) -> DataFrame:
     """[J11] Rows in order, less those within tolerance of a row that was kept before them.
 
-    Tolerance isn't transitive, so this is a fold; a bucket is one incumbent's proposals
-    for one neuron, which a batch bounds."""
+    Tolerance isn't transitive, so this is a fold over a bucket, one incumbent's proposals
+    for one neuron, which a batch bounds. What was kept is held in order: if any of it is
+    within tolerance, so is the next below or above."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[float] = []
         keep = []
         rows = rows.sort_values(order)
-        for v in rows[value]:
-            near = any(abs(v - k) <= max(1e-9, 1e-6 * max(abs(v), abs(k))) for k in kept)
+        for v in rows[value].astype(float).tolist():
+            at = bisect.bisect_left(kept, v)
+            near = any(abs(v - k) <= max(1e-9, 1e-6 * max(abs(v), abs(k))) for k in kept[max(at - 1, 0) : at + 1])
             keep.append(not near)
-            if not near:
-                kept.append(v)
+            if not near and v == v:
+                kept.insert(at, v)
         return rows[keep]
 
     return df.groupBy(*bucket).applyInPandas(fold, df.schema)

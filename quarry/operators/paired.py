@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +46,14 @@ def bootstrap_interval(pairs: DataFrame, cell: list[str], resamples: int = 2000,
     return ranked.groupBy(*cell).agg(at(low).alias("ci_low"), at(high).alias("ci_high"))
 
 
-def verdict(ci_low: Column, ci_high: Column, pairs: Column, least: int = 3) -> Column:
-    """[G22] By the sign of the interval; too few pairs decide nothing."""
-    return F.when((pairs < least) | ci_low.isNull(), "insufficient").when(ci_high < 0, "better").when(ci_low > 0, "worse").otherwise("inconclusive")
+def verdict(ci_low: Column, ci_high: Column, pairs: Column, least: int = 3, guards: tuple[Column, ...] = ()) -> Column:
+    """[G22] By the sign of the interval; too few pairs decide nothing.
+
+    ``guards`` are mean differences on held-out rows, the full corpus or rare strata: one
+    that is worse, or wasn't measured, keeps a better interval inconclusive.
+    """
+    safe = reduce(lambda x, g: x & F.coalesce(g <= 0, F.lit(False)), guards, F.lit(True))
+    return F.when((pairs < least) | ci_low.isNull(), "insufficient").when((ci_high < 0) & safe, "better").when(ci_low > 0, "worse").otherwise("inconclusive")
 
 
 def overall(verdicts: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from quarry.functions.scalars import finite
 
 QUANTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
-#: Up to so many values of a column, quantiles are exact; beyond, approximate.
-EXACT_QUANTILE_VALUES = 10_000
 
 
 def melt(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -60,7 +58,7 @@ def nearest_rank_quantiles(df: DataFrame, column: str, value: str, quantiles=QUA
 
 
 def approximate_quantiles(df: DataFrame, column: str, value: str, quantiles=QUANTILES, accuracy: int = 10_000) -> DataFrame:
-    """[A3] The same for columns beyond EXACT_QUANTILE_VALUES: mergeable summaries, one shuffle."""
+    """[A3] The same for very long columns, by the caller's choice: mergeable summaries, one shuffle."""
     v = F.when(finite(F.col(value)), F.col(value))
     found = df.groupBy(column).agg(F.percentile_approx(v, list(quantiles), accuracy).alias("q"))
     return found.select(column, F.posexplode("q").alias("i", "value")).select(column, F.array(*map(F.lit, quantiles))[F.col("i")].alias("quantile"), "value")

@@ -58,7 +58,9 @@ def totals(rows: DataFrame) -> DataFrame:
             "memo_hit_rate": zero("memo_hits", F.col("memo_hits") + F.col("memo_misses")),
             "mean_experiment_ms": F.coalesce(F.try_divide(spent.cast("double"), F.col("experiments")), F.lit(0.0)),
             "total_improvement": improvement,
-            "baseline_scores_saved": F.col("baselines_remembered") - F.col("baselines_verified") * 2,
+            "baseline_scores_saved": F.col("baselines_remembered"),
+            "verification_creature_scores": F.col("baselines_verified") * 2,
+            "net_creature_scores_saved": F.col("baselines_remembered") - F.col("baselines_verified") * 2,
         }
     ).drop("first_won_baseline", "gained")
 

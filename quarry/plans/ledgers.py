@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as s
@@ -81,6 +83,27 @@ def decayed_evidence_fold(spark, d):
     return rounded(l.fold_evidence(evidence(spark, d), KEY, LINE, "arm"))
 
 
+BY_DAY = f"""WITH j AS ({JOURNAL}), n AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS e FROM j),
+p AS (SELECT user_id, e, max(CAST(accepted AS INT)) AS won FROM n GROUP BY 1, 2),
+q AS (SELECT user_id, e, sum(won) OVER (PARTITION BY user_id ORDER BY e DESC) AS later, max(e) OVER (PARTITION BY user_id) AS total FROM p),
+x AS (SELECT n.*, pow(0.9, total - e) * pow(0.25, later) AS w FROM n JOIN q USING (user_id, e))
+SELECT user_id, arm, round(sum(w), 6) AS trials, round(sum(w * CAST(k > 50 AS INT)), 6) AS promotions, round(sum(w * CASE WHEN accepted THEN improvement ELSE 0 END), 6) AS score_gain, round(sum(w * cost), 6) AS cost_ms, round(sum(w * CAST(accepted AS INT)), 6) AS accepts FROM x GROUP BY 1, 2"""
+
+
+@query("decayed_evidence_experiments", BY_DAY)
+def decayed_evidence_experiments(spark, d):
+    """Experiments of several arms, here the rows of a day, decay once each."""
+    rows = evidence(spark, d).withColumn("day", F.to_date("ts"))
+    return rounded(l.decayed_evidence(rows, KEY, LINE, "arm", experiment=["day"]).drop("value"))
+
+
+@query("decayed_evidence_experiments_fold", BY_DAY)
+def decayed_evidence_experiments_fold(spark, d):
+    """The same as the fold that streams use."""
+    rows = evidence(spark, d).withColumn("day", F.to_date("ts"))
+    return rounded(l.fold_evidence(rows, KEY, LINE, "arm", experiment=["day"]))
+
+
 @query("strategy_evidence", f"SELECT arm, count(*) AS trials, count(*) FILTER (k > 50) AS promotions, count(*) FILTER (accepted) AS accepts, round(sum(improvement) FILTER (accepted), 4) AS score_gain, round(sum(cost), 4) AS cost_ms FROM ({JOURNAL}) GROUP BY 1")
 def strategy_evidence(spark, d):
     """Undecayed totals by arm."""
@@ -94,17 +117,22 @@ ARMS = f"SELECT arm, CAST(count(*) AS DOUBLE) AS trials, CAST(count(*) FILTER (k
 
 @query(
     "allocation_slots",
-    f"""WITH a AS ({ARMS}), v AS (SELECT *, {VALUE} AS value, {VALUE} + 0.5 * (1.0 / (avg(cost_ms) OVER () / 1000 + 10)) * sqrt(ln(1 + sum(trials) OVER ()) / greatest(trials, 1)) AS idx, count(*) OVER () AS n, row_number() OVER (ORDER BY trials, arm) AS cold FROM a),
-r AS (SELECT *, 20 // n + CASE WHEN cold <= 20 % n THEN 1 ELSE 0 END AS reserved, 80 * idx / sum(idx) OVER () AS share FROM v),
-f AS (SELECT *, floor(share) AS whole, row_number() OVER (ORDER BY share - floor(share) DESC, arm) AS rk, 80 - sum(floor(share)) OVER () AS spare FROM r)
-SELECT arm, round(value, 6) AS value, CAST(reserved + whole + CASE WHEN rk <= spare THEN 1 ELSE 0 END AS BIGINT) AS slots FROM f""",
+    f"""WITH a AS ({ARMS}), u AS (SELECT 'tried' AS pool, * FROM a UNION ALL SELECT 'untried', arm, 0.0, 0.0, 0.0, 0.0 FROM a), b AS (SELECT unnest([0, 29, 100]) AS budget),
+v AS (SELECT pool, budget, arm, {VALUE} AS value, greatest({VALUE} + 0.5 * (1.0 / (avg(cost_ms) OVER p / 1000 + 10)) * sqrt(ln(1 + sum(trials) OVER p) / greatest(trials, 1)), 0) AS idx, count(*) OVER p AS n,
+row_number() OVER (PARTITION BY pool, budget ORDER BY trials, arm) AS cold, CAST(floor(0.2 * budget + 0.5) AS BIGINT) AS reserve FROM u, b WINDOW p AS (PARTITION BY pool, budget)),
+r AS (SELECT *, reserve // n + CASE WHEN cold <= reserve % n THEN 1 ELSE 0 END AS reserved, (budget - reserve) * CASE WHEN sum(idx) OVER p > 0 THEN idx / sum(idx) OVER p ELSE 1.0 / n END AS share FROM v WINDOW p AS (PARTITION BY pool, budget)),
+f AS (SELECT *, floor(share) AS whole, row_number() OVER (PARTITION BY pool, budget ORDER BY share - floor(share) DESC, arm) AS rk, budget - reserve - sum(floor(share)) OVER (PARTITION BY pool, budget) AS spare FROM r)
+SELECT pool, CAST(budget AS INT) AS budget, arm, round(value, 6) AS value, CAST(reserved + whole + CASE WHEN rk <= spare THEN 1 ELSE 0 END AS BIGINT) AS slots FROM f""",
 )
 def allocation_slots(spark, d):
-    """Slots by reserve and optimistic value; they sum to the budget."""
+    """Slots by reserve and optimistic value, which sum to each budget, of arms
+    that were tried and of a pool without trials."""
     arms = journal(spark, d).groupBy("arm").agg(
         F.count("*").cast("double").alias("trials"), F.count_if(F.col("k") > 50).cast("double").alias("promotions"), (F.sum(F.when(F.col("accepted"), F.col("improvement")).otherwise(0.0)) * 1e-9).alias("score_gain"), F.sum("cost").alias("cost_ms")
     )
-    return rounded(l.slots(arms, 100))
+    pools = {"tried": arms, "untried": arms.select("arm", *[F.lit(0.0).alias(c) for c in ("trials", "promotions", "score_gain", "cost_ms")])}
+    found = [l.slots(rows, budget).select(F.lit(pool).alias("pool"), F.lit(budget).alias("budget"), "arm", "value", "slots") for pool, rows in pools.items() for budget in (0, 29, 100)]
+    return rounded(reduce(DataFrame.unionByName, found))
 
 
 @query(

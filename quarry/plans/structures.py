@@ -198,6 +198,18 @@ def verdict(spark, d):
     return s.select("cell", p.verdict(F.col("m") - F.col("h"), F.col("m") + F.col("h"), F.col("n")).alias("verdict"))
 
 
+@query(
+    "guarded_verdict",
+    f"{PAIRS}, s AS (SELECT cell, count(d) AS n, avg(d) AS m, 0.2 * stddev_samp(d) / sqrt(count(d)) AS h, avg(d) FILTER (seed % 10 = 0) AS held, avg(d) FILTER (seed % 7 = 0) AS rare FROM q GROUP BY 1) SELECT cell, CASE WHEN n < 3 OR h IS NULL THEN 'insufficient' WHEN m + h < 0 AND held <= 0 AND rare <= 0 THEN 'better' WHEN m - h > 0 THEN 'worse' ELSE 'inconclusive' END AS verdict FROM s",
+)
+def guarded_verdict(spark, d):
+    """A better interval that held-out or rare rows contradict stays inconclusive."""
+    d_ = F.col("difference")
+    on = lambda k: F.avg(F.when(F.col("seed") % k == 0, d_))
+    s = _pairs(spark, d).groupBy("cell").agg(F.count(d_).alias("n"), F.avg(d_).alias("m"), (F.stddev_samp(d_) * 0.2 / F.sqrt(F.count(d_))).alias("h"), on(10).alias("held"), on(7).alias("rare"))
+    return s.select("cell", p.verdict(F.col("m") - F.col("h"), F.col("m") + F.col("h"), F.col("n"), guards=(F.col("held"), F.col("rare"))).alias("verdict"))
+
+
 @query("bootstrap_interval")
 def bootstrap_interval(spark, d):
     """Bootstrap intervals by hashed draws; tests hold them against a loop."""

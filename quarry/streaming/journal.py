@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.operators.ledgers import SUMS, weighed_by_arm
+
 
 def journal_stream(spark: SparkSession, folder: str) -> DataFrame:
     """[S9] Lines of a growing journal folder, with the kind of each."""
@@ -19,30 +21,26 @@ def journal_stream(spark: SparkSession, folder: str) -> DataFrame:
 EVIDENCE = "journal string, arm string, trials double, promotions double, score_gain double, cost_ms double, accepts double"
 
 
-def stream_evidence(rows: DataFrame, decay: float = 0.9, retention: float = 0.25) -> DataFrame:
+def stream_evidence(rows: DataFrame, decay: float = 0.9, retention: float = 0.25, experiment: list[str] | None = None) -> DataFrame:
     """[W8] Decayed evidence by arm as an ordered fold with state: the state of a journal is
     five numbers an arm. ``rows`` has journal, seq, arm, accepted, trials, promotions,
-    score_gain, cost_ms; rows of a batch are ordered by seq, later batches come later."""
-    names = ["trials", "promotions", "score_gain", "cost_ms"]
+    score_gain, cost_ms, and the columns that the rows of an ``experiment`` share (without
+    them each row is one); rows of a batch are ordered by seq, later batches come later, and
+    an experiment, one line of the journal, comes in one batch."""
+    names = [*SUMS, "accepts"]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {arm: list(v) for arm, *v in zip(*state.get)} if state.exists else {}
         rows = pd.concat(list(batches)).sort_values("seq")
-        for row in rows.itertuples():
-            for v in held.values():
-                v[:] = [x * decay for x in v]
-            v = held.setdefault(row.arm, [0.0] * 5)
-            for k, name in enumerate(names):
-                v[k] += getattr(row, name)
-            if row.accepted:
-                v[4] += 1
-                for v in held.values():
-                    v[:] = [x * retention for x in v]
-        arms = list(held)
-        state.update((arms, *[[held[a][k] for a in arms] for k in range(5)]))
-        yield pd.DataFrame([[key[0], a, *held[a]] for a in arms], columns=["journal", "arm", *names, "accepts"])
-
-    kept = "arms array<string>, " + ", ".join(f"{n} array<double>" for n in [*names, "accepts"])
+        found, before = weighed_by_arm(rows, "arm", experiment or ["seq"], decay, retention)
+        if state.exists:
+            arms, *sums = state.get
+            held = pd.DataFrame(dict(zip(names, map(list, sums))), index=list(arms)) * before
+            found = found[names].add(held[names], fill_value=0.0)
+        arms = found.index.tolist()
+        state.update((arms, *[found[n].tolist() for n in names]))
+        yield pd.DataFrame([[key[0], a, *v] for a, v in zip(arms, found[names].to_numpy().tolist())], columns=["journal", "arm", *names])
+
+    kept = "arms array<string>, " + ", ".join(f"{n} array<double>" for n in names)
     return rows.groupBy("journal").applyInPandasWithState(fold, EVIDENCE, kept, "update", GroupStateTimeout.NoTimeout)
 
 
