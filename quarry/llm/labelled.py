@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     hash of their doc_id; and how many labelled rows of ``docs`` there are of each value.
 
     Only documents in ``docs`` count. Rows of the held-out remainder, without doc_id, or
-    whose labels disagree or are null are left out; a null text is empty. The doc_ids are
-    chosen from narrow columns; then one scan of the texts fetches the chosen ones.
+    whose labels disagree or are null are left out; a null text is empty; of rows that share
+    a doc_id the least text trains. The doc_ids are chosen from narrow columns; then one scan
+    of the texts fetches the chosen ones.
     """
     agreed = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("z"))
     agreed = agreed.where((F.col("y") == F.col("z")) & (remainder(modulus) != held_out) & F.col("y").isin(list(most))).select(F.col("doc_id").cast("long"), "y")
     own = docs.select(F.col("doc_id").cast("long")).join(agreed, "doc_id").groupBy("doc_id", "y").agg(F.count("*").alias("n"))
     counts = {row.y: row.n for row in own.groupBy("y").agg(F.sum("n").alias("n")).collect()}
-    bound = max(most.values())
-    by_hash = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= bound).collect()
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in chosen if r["rank"] <= most[r.y]], "doc_id long, y int")
+    chosen = {v: [r.doc_id for r in own.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").collect()] for v, n in most.items()}
+    wanted = docs.sparkSession.createDataFrame([(doc,) for ids in chosen.values() for doc in ids], "doc_id long")
     found = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
-    in_order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= bound).select("y", "rank", "text").collect()
-    rows.sort(key=lambda r: r["rank"])
-    return {value: [r.text for r in rows if r.y == value and r["rank"] <= n] for value, n in most.items()}, counts
+    texts = {r.doc_id: r.text for r in found.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return {v: [texts[doc] for doc in ids] for v, ids in chosen.items()}, counts
