@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import maxent, quality, toxicity
 from quarry.llm.labelled import labelled_sample
+from quarry.session import Scratch
 
 SCHEMA = "doc_id long, text string, score double, toxic_score string"
 BIG = "/root/testdata/sf0.01"
@@ -116,20 +117,107 @@ def test_sample_leaves_held_out_rows(spark):
     assert max(map(len, texts[0])) == 300_000
 
 
-def test_model_is_a_distribution():
-    v = maxent.Vocabulary([f"w{i}" for i in range(1500)], list(range(1500, 0, -1)), 10, 1_125_760, 1501, [5] * 16, [2] * 16)
-    w = maxent.Weights.of(v)
+def corpus(spark, parts):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text", F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 10 = 0").alias("held_out"))
+    return docs.repartition(parts)
+
+
+def small_model(spark, docs):
+    scratch = Scratch(spark)
+    training = docs.where("NOT held_out")
+    counts = maxent.count_words(training)
+    v = maxent.learn_vocabulary(counts, training.count())
+    coded = scratch.write(maxent.encode_documents(docs, v, 3), "coded")
+    return coded, counts, maxent.train(coded, v, scratch), scratch
+
+
+def test_model_is_a_distribution_and_scores_are_its_sums(spark):
+    """Scores against a plain loop over dictionaries; probabilities of all words sum to one."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(vocab[int(k)] for k in (rng.integers(0, 8) + np.cumsum(rng.integers(0, 5, rng.integers(0, 40)))) % 60), i % 10 == 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    coded, counts, m, scratch = small_model(spark, docs)
+    v = m.vocabulary
+    assert len(m.codes) > 100 and np.isfinite(m.scales).all()
+    pairs = dict(zip(m.codes.tolist(), m.weights.tolist()))
+
+    def log_p(target, one, two):
+        c = int(v.classes[target])
+        z = v.class_share + m.scales[m.often[0][one]] * m.previous[one] + m.scales[maxent.SCALES + m.often[1][two]] * m.skipped[two]
+        out = z[c] - math.log(np.exp(z).sum())
+        members = [w for w in range(len(v.ids) + 1) if v.classes[w] == c]
+        u = {w: v.share[w] + pairs.get(one * maxent.TARGETS + w, 0.0) for w in members}
+        return out if target == maxent.COMMON else out + u[target] - math.log(sum(map(math.exp, u.values())))
+
+    for one, two in ((0, 0), (5, 3), (17, 9), (maxent.COMMON + 5, 2)):
+        every = [*range(len(v.ids) + 1), maxent.COMMON]
+        assert sum(math.exp(log_p(t, one, two)) for t in every) == pytest.approx(1, abs=1e-3)
+    rest = math.log10(0.1 / (v.rest_n + 0.1 * (v.rest_v + 1)))
+    for r in maxent.score_documents(coded, counts, m, scratch).collect():
+        tokens = [v.ids.get(w, None) for w in rows[r.doc_id][1].split()] + [0]
+        tokens = [maxent.COMMON if t is None else t for t in tokens]
+        want = sum(log_p(t, ([0, 0] + tokens)[k + 1], ([0, 0] + tokens)[k]) / math.log(10) + rest * (t == maxent.COMMON) for k, t in enumerate(tokens))
+        assert r.score == pytest.approx(want, rel=1e-4)
+
+
+def test_gradients_of_the_scales(spark):
     rng = np.random.default_rng(0)
-    for table in w.tables:
-        table[:] = rng.normal(0, 1, table.shape)
-    tokens = np.arange(maxent.WORDS)
-    one = np.full(len(tokens), 3)
-    members = 10 ** w.log10(tokens, one, one, np.zeros(len(tokens), int))
-    rare = np.full(16, maxent.COMMON) + np.arange(16)
-    others = 10 ** w.log10(rare, np.full(16, 3), np.full(16, 3), np.arange(16))
-    assert members.sum() + others.sum() == pytest.approx(1, abs=1e-4)
-    inside = 10 ** v.share(np.array([3.0, 2.0, 0.0]), np.zeros(3, int))  # two words of 5 and the unseen
-    assert inside.sum() == pytest.approx(1)
+    v = maxent.Vocabulary([f"w{i}" for i in range(500)], list(range(500, 0, -1)), 50, 125_300, 501)
+    m = maxent.Model(v)
+    m.previous[:600] = rng.normal(0, 1, (600, maxent.CLASSES))
+    m.skipped[:600] = rng.normal(0, 1, (600, maxent.CLASSES))
+    m.often[:, :600] = rng.integers(0, maxent.SCALES, (2, 600))
+    tokens = rng.integers(0, 501, 300)
+    one, two = maxent.history(tokens, np.array([0, 120, 300]))
+    found = m.gradients(tokens, one, two)
+    for k in (0, 3, 9, 15):
+        def loss(x):
+            before, m.scales[k] = m.scales[k], m.scales[k] + x
+            value, slope = m.log10(tokens, one, two).sum() * math.log(10), m.gradients(tokens, one, two)[0]
+            m.scales[k] = before
+            return value, slope
+        (up, up_slope), (down, down_slope) = loss(1e-3), loss(-1e-3)
+        assert found[0][k] == pytest.approx((up - down) / 2e-3, rel=2e-2, abs=2e-2)
+        assert found[1:][k] == pytest.approx(-(up_slope - down_slope) / 2e-3, rel=2e-2, abs=2e-1)
+
+
+def test_pair_weights_meet_their_counts():
+    share = np.array([0.1, 0.2, 0.05, 0.3])
+    n, total, group = np.array([40.0, 10, 5, 60]), np.array([60.0, 60, 60, 100]), np.array([0, 0, 0, 1])
+    w, z = maxent.pair_weights(group, n, total, share, rounds=60)
+    p = share * np.exp(w - z)
+    assert n - total * p == pytest.approx(maxent.PAIR_DISCOUNT + maxent.PAIR_PENALTY * w, abs=1e-2)  # the regularised optimum
+    sizes = np.bincount(maxent.count_level(np.array([1] * 50 + [2] * 20 + [9] * 5 + [1000])), minlength=maxent.LOG_COUNTS)
+    assert [maxent.least_level(sizes, k) for k in (100, 30, 5, 1)] == [0, 2, 10, 10]
+    pairs, counts = maxent.counted(np.array([5, 3, 5]), np.array([1, 2, 4]))
+    assert pairs.tolist() == [3, 5] and counts.tolist() == [2, 5]
+
+
+def test_op6_beats_a_discounted_bigram_under_any_partitioning(spark):
+    first = {r.doc_id: r for r in maxent.score_corpus(corpus(spark, 2)).collect()}
+    other = {r.doc_id: r for r in maxent.score_corpus(corpus(spark, 11)).collect()}
+    assert all(other[k].score == pytest.approx(r.score, rel=1e-6) for k, r in first.items())
+    docs = [(r.doc_id, (r.text or "").encode().lower().split()) for r in corpus(spark, 1).collect()]
+    one, two, heads, kinds, n = Counter(), Counter(), Counter(), Counter(), 0
+    for doc, words in docs:
+        if held(doc, 10):
+            for a, b in zip([b"", *words], [*words, b""]):
+                one[b] += 1
+                heads[a] += 1
+                kinds[a] += (a, b) not in two
+                two[a, b] += 1
+    total, distinct, bigram, tokens = sum(one.values()), len(one), 0.0, 0
+    for doc, words in docs:
+        if not held(doc, 10):
+            for a, b in zip([b"", *words], [*words, b""]):
+                p = (one[b] + 0.1) / (total + 0.1 * (distinct + 1))
+                p = max(two[a, b] - 0.75, 0) / heads[a] + 0.75 * kinds[a] / heads[a] * p if heads[a] else p
+                bigram += math.log10(p)
+                tokens += 1
+    score = sum(r.score for r in first.values() if r.held_out)
+    print("held-out log10 a token", score / tokens, "bigram", bigram / tokens, "base", sum(r.base_score for r in first.values() if r.held_out) / tokens)
+    assert score >= bigram
 
 
 def test_op6_base_score_and_gain(spark):
@@ -154,14 +242,11 @@ def test_op6_base_score_and_gain(spark):
 
 def test_op6_odd_documents(spark):
     docs = odd_documents(spark).selectExpr("doc_id", "text", "doc_id = 2 AS held_out").fillna({"held_out": False})
-    training = docs.where("NOT held_out")
-    counts = maxent.count_words(training)
-    v = maxent.learn_vocabulary(counts, training.count())
-    rows = maxent.score_documents(docs, counts, v, maxent.train_weights(training, v)).collect()
+    rows = maxent.score_corpus(docs).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 1, 3, 3, 3, 40_001]
     assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
-    none = docs.where("false")
-    counts = maxent.count_words(none)
-    v = maxent.learn_vocabulary(counts, 0)
-    rows = maxent.score_documents(docs, counts, v, maxent.train_weights(none, v)).collect()
-    assert len(rows) == 6 and all(r.train_tokens == 0 and r.n_known == 0 for r in rows)
+    rows = maxent.score_corpus(docs.withColumn("held_out", F.lit(True))).collect()
+    assert len(rows) == 6 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
+    assert maxent.score_corpus(docs.where("false")).count() == 0
+    few = maxent.score_corpus(docs, most=1).collect()  # a bound on pairs that few of them meet
+    assert len(few) == 6 and all(math.isfinite(r.score) for r in few)
