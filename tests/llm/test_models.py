@@ -128,7 +128,7 @@ def small_model(spark, docs):
     counts = maxent.count_words(training)
     v = maxent.learn_vocabulary(counts, training.count())
     coded = scratch.write(maxent.encode_documents(docs, v, 3), "coded")
-    return coded, counts, maxent.train(coded, v, scratch), scratch
+    return coded, counts, *maxent.train(coded, v, 3, scratch)
 
 
 def test_model_is_a_distribution_and_scores_are_its_sums(spark):
@@ -137,7 +137,7 @@ def test_model_is_a_distribution_and_scores_are_its_sums(spark):
     vocab = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(vocab[int(k)] for k in (rng.integers(0, 8) + np.cumsum(rng.integers(0, 5, rng.integers(0, 40)))) % 60), i % 10 == 0) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
-    coded, counts, m, scratch = small_model(spark, docs)
+    coded, counts, m, shared = small_model(spark, docs)
     v = m.vocabulary
     assert len(m.codes) > 100 and np.isfinite(m.scales).all()
     pairs = dict(zip(m.codes.tolist(), m.weights.tolist()))
@@ -154,7 +154,7 @@ def test_model_is_a_distribution_and_scores_are_its_sums(spark):
         every = [*range(len(v.ids) + 1), maxent.COMMON]
         assert sum(math.exp(log_p(t, one, two)) for t in every) == pytest.approx(1, abs=1e-3)
     rest = math.log10(0.1 / (v.rest_n + 0.1 * (v.rest_v + 1)))
-    for r in maxent.score_documents(coded, counts, m, scratch).collect():
+    for r in maxent.score_documents(coded, counts, m, shared).collect():
         tokens = [v.ids.get(w, None) for w in rows[r.doc_id][1].split()] + [0]
         tokens = [maxent.COMMON if t is None else t for t in tokens]
         want = sum(log_p(t, ([0, 0] + tokens)[k + 1], ([0, 0] + tokens)[k]) / math.log(10) + rest * (t == maxent.COMMON) for k, t in enumerate(tokens))
@@ -187,7 +187,7 @@ def test_pair_weights_meet_their_counts():
     n, total, group = np.array([40.0, 10, 5, 60]), np.array([60.0, 60, 60, 100]), np.array([0, 0, 0, 1])
     w, z = maxent.pair_weights(group, n, total, share, rounds=60)
     p = share * np.exp(w - z)
-    assert n - total * p == pytest.approx(maxent.PAIR_DISCOUNT + maxent.PAIR_PENALTY * w, abs=1e-2)  # the regularised optimum
+    assert n - total * p == pytest.approx(maxent.PAIR_DISCOUNT + maxent.PAIR_PENALTY * w, abs=5e-2)  # the regularised optimum, in 16 bits
     sizes = np.bincount(maxent.count_level(np.array([1] * 50 + [2] * 20 + [9] * 5 + [1000])), minlength=maxent.LOG_COUNTS)
     assert [maxent.least_level(sizes, k) for k in (100, 30, 5, 1)] == [0, 2, 10, 10]
     pairs, counts = maxent.counted(np.array([5, 3, 5]), np.array([1, 2, 4]))
