@@ -118,22 +118,10 @@ def strategy_calibration(spark, d):
     return rounded(found.withColumns({c: F.round(c, 4) for c in ("mean_screen_delta", "best_screen_delta", "best_full_delta")}))
 
 
-PRIOR = f"""
- r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY experiment, stem) AS pair_no FROM ({DELTAS})),
- f AS (SELECT strategy, experiment, min(pair_no) AS first_no FROM r GROUP BY 1, 2),
- n AS (SELECT strategy, max(experiment) AS last_experiment FROM r GROUP BY 1),
- q AS (SELECT f.strategy, f.experiment, r.delta AS screen_delta, r.full_delta FROM f JOIN n ON n.strategy = f.strategy JOIN r ON r.strategy = f.strategy AND r.pair_no >= f.first_no - 128 AND r.pair_no < f.first_no WHERE f.experiment > n.last_experiment - 400)"""
-
-
-@query(
-    "calibrated_thresholds",
-    f"""WITH {PRIOR},
-a AS (SELECT strategy, experiment, count(*) AS pairs, min(screen_delta) FILTER (full_delta > 20000) AS win, count(*) FILTER (full_delta <= 0) AS losses, quantile_cont(screen_delta, 0.5) FILTER (full_delta <= 0) AS loss, min(screen_delta) FILTER (full_delta > 0) AS better FROM q GROUP BY 1, 2),
-b AS (SELECT *, CASE WHEN better IS NULL THEN loss WHEN better > 0 THEN least(loss, better * 0.5) END AS target FROM a)
-SELECT strategy, experiment, pairs, round(CASE WHEN pairs < 8 THEN NULL WHEN win IS NOT NULL THEN greatest(0.125, least(8.0, CASE WHEN win > 0 THEN win * 0.5 ELSE 500.0 / 8 END / 500.0)) WHEN losses >= 8 AND target > 0 THEN greatest(0.125, least(8.0, target / 500.0)) END, 6) AS multiplier FROM b""",
-)
+@query("calibrated_thresholds")
 def calibrated_thresholds(spark, d):
-    """Multipliers from the last 128 earlier pairs, for every experiment of each strategy."""
+    """Multipliers from the last 128 earlier pairs, for every experiment of each strategy.
+    SQL over the whole table would join each experiment with 128 rows; tests hold it against a loop."""
     rows = candidate_deltas(spark, d).withColumnRenamed("delta", "screen_delta")
     prior = g.prior_window(rows, "strategy", ["experiment", "stem"], "experiment")
     return rounded(prior.select("strategy", "experiment", F.size("prior").cast("long").alias("pairs"), g.calibrated_multiplier(F.col("prior"), 500.0, 20000.0).alias("multiplier")))

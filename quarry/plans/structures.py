@@ -42,7 +42,7 @@ def unused_sources_anti(spark, d):
     return g.unused_sources(sources, used, F.broadcast(focus)).select("id", "focus")
 
 
-@query("incoming_statistics", "SELECT n_nationkey AS to_id, c_custkey AS from_id, count(o_orderkey) AS orders FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 1 GROUP BY 1, 2")
+@query("incoming_statistics", "SELECT n_nationkey AS to_id, c_custkey AS from_id, count(o_orderkey) AS orders FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
 def incoming_statistics(spark, d):
     """Edges into focuses with their sources' statistics."""
     into = table(spark, d, "customer").select(F.col("c_custkey").alias("from_id"), F.col("c_nationkey").alias("to_id"))
@@ -71,8 +71,8 @@ def merge_conflicts(spark, d):
 
 @query(
     "graft_states",
-    """WITH k AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 3 = 0), h AS (SELECT l_orderkey AS graft, bool_and(l_partkey IN (SELECT id FROM k)) AS p FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY 1),
-r AS (SELECT l_orderkey AS graft, bool_and(l_partkey IN (SELECT id FROM k)) AS a FROM lineitem WHERE l_orderkey % 10 = 1 AND l_quantity > 25 GROUP BY 1)
+    """WITH k AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 3 = 0), h AS (SELECT l_orderkey AS graft, bool_and(l_partkey IN (SELECT id FROM k)) AS p FROM lineitem GROUP BY 1),
+r AS (SELECT l_orderkey AS graft, bool_and(l_partkey IN (SELECT id FROM k)) AS a FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
 SELECT h.graft, CASE WHEN p THEN 'present' WHEN coalesce(a, true) THEN 'applicable' ELSE 'inapplicable' END AS state FROM h LEFT JOIN r USING (graft)""",
 )
 def graft_states(spark, d):
