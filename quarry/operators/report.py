@@ -1,12 +1,14 @@
-"""The journal's report: one row of totals and rates, and tables by strategy and phase."""
+"""The journal's report: one row of totals and rates, tables by strategy and phase (A15-A29),
+and all of it as one document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import economics
 from quarry.operators.profile import least_squares
-from quarry.sources.journal import candidates, scores
+from quarry.sources.journal import REPLAY, candidates, experiments, scores, side_events
 
 
 def _scored(column: str) -> F.Column:
@@ -39,8 +41,8 @@ def totals(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("memoMisses"), F.lit(0)).alias("memo_misses"),
         F.coalesce(F.sum("combosScored"), F.lit(0)).alias("combos_scored"),
         F.count_if(accepted & (F.col("comboMembers") > 1)).alias("combo_acceptances"),
-        F.count_if(F.col("baselineSource") == "remembered").alias("baselines_remembered"),
-        F.count_if(F.col("baselineSource") == "verified").alias("baselines_verified"),
+        F.count_if(F.col("baselineSource").isin("remembered", "rememberedVerified")).alias("baselines_remembered"),
+        F.count_if(F.col("baselineSource") == "rememberedVerified").alias("baselines_verified"),
         F.sum("cacheSkipped").alias("cache_skipped"),
         F.max("cacheSize").alias("cache_peak"),
         F.max_by("cacheSize", F.when(F.col("cacheSize").isNotNull(), at)).alias("cache_final"),
@@ -85,7 +87,7 @@ def strategies(rows: DataFrame) -> DataFrame:
 def focuses(rows: DataFrame) -> DataFrame:
     """[A16, D7] Experiments, accepts and split improvement by focus; a journal without
     focus sets has one focus an experiment."""
-    focus = F.array_sort(F.array_distinct(F.coalesce("focusNeurons", F.array("focusNeuron"))))
+    focus = F.array_sort(F.array_distinct(F.when(F.size("focusNeurons") > 0, F.col("focusNeurons")).otherwise(F.array("focusNeuron"))))
     accepted = F.coalesce("accepted", F.lit(False))
     each = rows.select(accepted.alias("accepted"), (F.col("improvement") / F.size(focus)).alias("share"), F.explode(focus).alias("focus"))
     return each.groupBy("focus").agg(F.count("*").alias("experiments"), F.count_if("accepted").alias("accepts"), F.coalesce(F.sum(F.when(F.col("accepted"), F.col("share"))), F.lit(0.0)).alias("improvement"))
@@ -107,3 +109,43 @@ def screen_pairs(rows: DataFrame) -> DataFrame:
 
     both = deltas("screenScores", "screen_delta").join(deltas("scores", "full_delta"), key)
     return both.join(candidates(rows).select(*key, "strategy"), key, "left").withColumn("strategy", F.coalesce("strategy", F.lit("unattributed")))
+
+
+def sections(lines: DataFrame) -> dict[str, DataFrame]:
+    """The report's tables by name, of checked journal lines. Those named in ``ONE_ROW`` have
+    one row; the others one a strategy, phase, bucket or focus."""
+    rows = experiments(lines)
+    return {
+        "totals": totals(rows),
+        "followUp": economics.follow_up_arms(rows),
+        "neighbourhood": economics.neighbourhood_arms(rows),
+        "graftReplay": economics.graft_totals(side_events(lines, "graftReplay", REPLAY)),
+        "analysisMemo": economics.analysis_memo(rows),
+        "candidateBatch": economics.candidate_batches(rows),
+        "baselineReuse": economics.baseline_reuse(rows),
+        "cache": economics.cache_report(rows),
+        "strategies": strategies(rows),
+        "strategyAllocation": economics.allocation_report(rows),
+        "scorerCallCost": call_costs(rows),
+        "focusStats": economics.focus_buckets(rows),
+        "focuses": focuses(rows),
+    }
+
+
+ONE_ROW = ("totals", "followUp", "neighbourhood", "graftReplay", "analysisMemo", "candidateBatch", "baselineReuse", "cache")
+#: Tables whose size is that of a vocabulary; focuses grow with the network and stay a table.
+LISTED = ("strategies", "scorerCallCost", "focusStats")
+
+
+def document(lines: DataFrame) -> DataFrame:
+    """One row, one JSON document: the sections of one row as objects, those that a vocabulary
+    bounds as arrays in order of their first column."""
+    found = sections(lines)
+    parts = [found[n].select(F.struct("*").alias(n)) for n in ONE_ROW]
+    parts += [found[n].agg(F.array_sort(F.collect_list(F.struct(*found[n].columns))).alias(n)) for n in LISTED if n != "focusStats"]
+    stats = found["focusStats"].withColumn("squash_counts", F.to_json("squash_counts"))
+    parts.append(stats.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias("focusStats")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.crossJoin(part)  # one row each
+    return whole.select(F.to_json(F.struct("*")).alias("report"))

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quarry.plans import gates, ledgers, profile, structures  # noqa: F401
+    from quarry.plans import economics, gates, ledgers, profile, structures  # noqa: F401
 
     return dict(_QUERIES)
 

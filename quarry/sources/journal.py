@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = ("runHeader", "graftReplay", "scorerCalls", "cacheStandDown", "strategyPriors")
-CANDIDATE = "struct<strategy: string, focusNeuron: string, mutation: string, oldValue: double, newValue: double, mirror: struct<axis: string, delta: double, role: string>>"
+CANDIDATE = "struct<strategy: string, focusNeuron: string, mutation: string, oldValue: double, newValue: double, mirror: struct<axis: string, delta: double, role: string>, followUp: struct<parentExperiment: bigint, parentWinner: string, parentStrategy: string, probe: string>, neighbourhood: struct<rootFocus: string, member: string, hops: int, role: string>>"
 CALL = "struct<phase: string, creatures: bigint, sampleRate: double, elapsedMs: bigint, failed: boolean>"
 EXPERIMENT = (
     "experimentNumber bigint, timestampUnix bigint, seed bigint, incumbentId string, focusNeuron string, focusNeurons array<string>, "
+    "focusStats struct<incomingCount: double, saturationFraction: double, nearZeroFraction: double, postVariance: double, meanBlame: double, meanAbsBlame: double, squash: string>, "
+    "followUp struct<parentExperiment: bigint, parentWinner: string>, neighbourhood struct<rootFocus: string, members: array<string>>, strategyAllocation struct<explorationFloor: double, slots: map<string, int>>, "
     f"candidates array<{CANDIDATE}>, candidatesRequested int, batchLimit string, scores map<string, double>, screenScores map<string, double>, baselineSource string, winner string, "
     f"improvement double, accepted boolean, analysisMs bigint, scorerMs bigint, memoHits bigint, memoMisses bigint, memoMsSaved bigint, scorerCalls array<{CALL}>, scorerError string, "
-    "comboMembers int, comboMemberIndices array<int>, combosScored int, mirrorAxisFailures array<string>, cacheSkipped int, cacheDeduplicated int, cacheBackfilled int, cacheSize int, cacheSavedMs double, cacheSpentMs double"
+    "comboMembers int, comboMemberIndices array<int>, combosScored int, mirrorAxisFailures array<string>, cacheSkipped int, cacheDeduplicated int, cacheBackfilled int, cacheSize int, cacheLookupMs bigint, cacheMaintenanceMs bigint, cacheRebuildMs bigint, cacheSavedMs double, cacheSpentMs double"
 )
+REPLAY = f"graftsApplied int, accepted boolean, improvement double, scorerFailures bigint, replayError string, scorerCalls array<{CALL}>"
 HEADER = "timestampUnix bigint, seed bigint, version string, config struct<candidates: int, minImprovement: double, screenSampleRate: double, screenPromoteThreshold: double, screenPromoteGate: string, strategyEvidenceDecay: double>"
 
 
