@@ -219,3 +219,14 @@ def suggested_weight(ols: Column, weight_scale: Column, direction: Column, error
     size = F.greatest(F.lit(1e-5), F.least(F.lit(most), weight_scale * (scale / 0.05)))
     sign = F.when(F.abs(direction) > 1e-3, F.signum(direction)).when(F.abs(error) > 1e-9, F.signum(error)).otherwise(1.0)
     return F.coalesce(fitted, sign * size)
+
+
+def duration_label(ms: Column) -> Column:
+    """Milliseconds below a second as such, else seconds with one digit; null stays null."""
+    return F.when(ms >= 1000, F.format_string("%.1fs", ms / 1000.0)).when(ms.isNotNull(), F.concat(ms.cast("string"), F.lit("ms")))
+
+
+def merge_sum(a: Column, b: Column) -> Column:
+    """Two maps of numbers added key by key; a key or map that is missing counts as zero."""
+    both = F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    return F.coalesce(both, a, b)

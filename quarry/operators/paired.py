@@ -19,6 +19,15 @@ def pair_arms(runs: DataFrame, cell: list[str], seed: str, metric: str, treatmen
     return both.select(*cell, seed, failed.alias("failed"), F.when(~failed, F.col("treatment") - F.col("control")).alias("difference"))
 
 
+def reference_pairs(runs: DataFrame, reference: DataFrame, cell: list[str], seed: str, metric: str) -> DataFrame:
+    """[J9] Runs beside those of a reference arm with the same cell and seed: (cell, seed, own,
+    reference, difference). Runs without a counterpart on either side drop out."""
+    key = [*cell, seed]
+    theirs = reference.select(*key, F.col(metric).alias("reference"))
+    both = runs.select(*key, F.col(metric).alias("own")).join(theirs, key)
+    return both.withColumn("difference", F.col("own") - F.col("reference"))
+
+
 def paired_summary(pairs: DataFrame, cell: list[str]) -> DataFrame:
     """[A38] Mean, exact median, wins (below 0), losses, ties and failures."""
     d = F.col("difference")

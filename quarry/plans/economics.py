@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import duration_label
 from quarry.operators import economics as e
 from quarry.operators import report
 from quarry.plans.registry import query
@@ -202,3 +203,9 @@ SELECT CAST(focus AS VARCHAR) AS focus, count(*) AS experiments, count(*) FILTER
 def journal_focuses(spark, d):
     """Experiments, accepts and split improvement by focus."""
     return rounded(report.focuses(records(spark, d)))
+
+
+@query("duration_labels", f"SELECT line_no, CASE WHEN scorer_ms * 100 - 10000 >= 1000 THEN printf('%.1fs', (scorer_ms * 100 - 10000) / 1000) ELSE (scorer_ms * 100 - 10000) || 'ms' END AS label FROM ({EXPERIMENTS})")
+def duration_labels(spark, d):
+    """Durations as the report prints them."""
+    return records(spark, d).select("line_no", duration_label(F.col("scorerMs") * 100 - 10000).alias("label"))

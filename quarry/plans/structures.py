@@ -210,6 +210,18 @@ def guarded_verdict(spark, d):
     return s.select("cell", p.verdict(F.col("m") - F.col("h"), F.col("m") + F.col("h"), F.col("n"), guards=(F.col("held"), F.col("rare"))).alias("verdict"))
 
 
+@query(
+    "reference_pairs",
+    "SELECT a.o_orderpriority AS cell, count(*) AS pairs, round(avg(a.o_totalprice - b.o_totalprice / 2), 4) AS mean_difference FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey AND b.o_orderkey % 3 = 0 GROUP BY 1",
+)
+def reference_pairs(spark, d):
+    """Runs beside a reference arm that lacks two of three seeds."""
+    runs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("cell"), F.col("o_orderkey").alias("seed"), "o_totalprice")
+    reference = runs.where("seed % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") / 2)
+    found = p.reference_pairs(runs, reference, ["cell"], "seed", "o_totalprice").groupBy("cell").agg(F.count("*").alias("pairs"), F.avg("difference").alias("mean_difference"))
+    return rounded(found, 4)
+
+
 @query("bootstrap_interval")
 def bootstrap_interval(spark, d):
     """Bootstrap intervals by hashed draws; tests hold them against a loop."""

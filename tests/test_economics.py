@@ -4,7 +4,10 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry.__main__ import main
+from quarry.functions.scalars import duration_label, merge_sum
 from quarry.operators import economics as e
 from quarry.sources import journal
 
@@ -85,3 +88,9 @@ def test_empty_journal(rows):
     none = rows.limit(0)
     assert e.follow_up_arms(none).first().bursts == 0 and e.cache_report(none).first().net_ms is None
     assert e.evidence(none, 0.9, 0.25).count() == e.allocation_report(none).count() == e.focus_buckets(none).count() == 0
+
+
+def test_durations_and_maps(spark):
+    rows = spark.createDataFrame([(999, {"a": 1, "b": 2}, {"b": 3}), (61_500, None, {"b": 3}), (None, {"a": 1}, None)], "ms long, x map<string,int>, y map<string,int>")
+    got = rows.select(duration_label(F.col("ms")).alias("label"), merge_sum(F.col("x"), F.col("y")).alias("m")).collect()
+    assert [(r.label, r.m) for r in got] == [("999ms", {"a": 1, "b": 5}), ("61.5s", {"b": 3}), (None, {"a": 1})]
