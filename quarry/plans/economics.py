@@ -68,11 +68,11 @@ def _sums(label: str, own: str, pure: str) -> str:
 
 
 def _rates(label: str, value: str, name: str) -> str:
-    return f"round(CASE WHEN {label}_candidates > 0 AND {label}_ms > 0 THEN {label}_{value} / ({label}_ms / 3.6e6) END, 4) AS {label}_{name}_per_hour"
+    return f"round(CASE WHEN {label}_candidates > 0 AND {label}_ms > 0 THEN {label}_{value} / ({label}_ms / 3.6e6) END, 6) AS {label}_{name}_per_hour"
 
 
 def _listed(label: str) -> str:
-    return f"CAST({label}_candidates AS BIGINT) AS {label}_candidates, round({label}_ms, 4) AS {label}_ms, {label}_accepts, round({label}_improvement, 4) AS {label}_improvement"
+    return f"CAST({label}_candidates AS BIGINT) AS {label}_candidates, round({label}_ms, 6) AS {label}_ms, {label}_accepts, round({label}_improvement, 6) AS {label}_improvement"
 
 
 @query(
@@ -83,7 +83,7 @@ SELECT bursts, burst_experiments, {_listed("followup")}, {_listed("ordinary")},
 )
 def followup_arms(spark, d):
     """Follow-up probes against ordinary candidates."""
-    return rounded(e.follow_up_arms(records(spark, d)), 4)
+    return rounded(e.follow_up_arms(records(spark, d)))
 
 
 @query(
@@ -92,12 +92,12 @@ def followup_arms(spark, d):
  {_sums("neighbourhood", "adjacent", "won_probes = 0 AND won_adjacent = won")}, {_sums("isolated", "isolated", "won_probes = 0 AND won_adjacent = 0")}, sum(probes) AS excluded_candidates, sum((analysis_ms + scorer_ms) * probes / n) AS excluded_ms,
  count(*) FILTER (accepted AND won = wanted AND won_probes > 0) AS excluded_accepts, count(*) FILTER (accepted AND won = wanted AND won_probes = 0 AND won_adjacent > 0 AND won_adjacent < won) AS mixed_accepts, count(*) FILTER (accepted AND won < wanted) AS unattributed_accepts,
  count(*) FILTER (expanded AND accepted AND won = wanted AND won_probes = 0 AND won_root = won) AS root_accepts, count(*) FILTER (expanded AND accepted AND won = wanted AND won_probes = 0 AND won_adjacent = won) AS adjacent_accepts FROM x)
-SELECT expansions, roots, members, {_listed("neighbourhood")}, {_listed("isolated")}, CAST(excluded_candidates AS BIGINT) AS excluded_candidates, round(excluded_ms, 4) AS excluded_ms, excluded_accepts, mixed_accepts, unattributed_accepts, root_accepts, adjacent_accepts,
+SELECT expansions, roots, members, {_listed("neighbourhood")}, {_listed("isolated")}, CAST(excluded_candidates AS BIGINT) AS excluded_candidates, round(excluded_ms, 6) AS excluded_ms, excluded_accepts, mixed_accepts, unattributed_accepts, root_accepts, adjacent_accepts,
  {_rates("neighbourhood", "accepts", "wins")}, {_rates("isolated", "accepts", "wins")}, {_rates("neighbourhood", "improvement", "gain")}, {_rates("isolated", "improvement", "gain")} FROM g""",
 )
 def neighbourhood_arms(spark, d):
     """Adjacent, isolated and excluded candidates."""
-    return rounded(e.neighbourhood_arms(records(spark, d)), 4)
+    return rounded(e.neighbourhood_arms(records(spark, d)))
 
 
 #: Candidates with what they cost and earned; weights of 0.9 an experiment and 0.25 an accept.
@@ -122,12 +122,12 @@ def journal_evidence(spark, d):
     f"""WITH {EARNED}, t AS (SELECT file, strategy, sum(trials) AS trials, sum(promotions) AS promotions, sum(accepts) AS accepts, sum(score_gain) AS score_gain, sum(cost_ms) AS cost_ms,
  (greatest(sum(weight * score_gain) / 1e-6, 0) + 0.05 * sum(weight * promotions)) / (sum(weight * cost_ms) / 1000 + 10) AS v FROM c GROUP BY 1, 2),
 s AS (SELECT file, strategy, sum(slots) AS slots FROM (SELECT file, 'A' AS strategy, line_no % 5 AS slots FROM x WHERE line_no % 2 = 0 UNION ALL SELECT file, 'Z', 1 FROM x WHERE line_no % 2 = 0) GROUP BY 1, 2)
-SELECT file, strategy, CAST(coalesce(slots, 0) AS BIGINT) AS allocated_slots, CAST(coalesce(trials, 0) AS DOUBLE) AS trials, CAST(coalesce(promotions, 0) AS DOUBLE) AS promotions, CAST(coalesce(accepts, 0) AS DOUBLE) AS accepts, round(coalesce(score_gain, 0), 4) AS score_gain, round(coalesce(cost_ms, 0), 4) AS cost_ms,
- round(coalesce(v, 0), 4) AS estimated_value, CAST(0 AS DOUBLE) AS prior_trials, CAST(0 AS DOUBLE) AS prior_share FROM t FULL JOIN s USING (file, strategy)""",
+SELECT file, strategy, CAST(coalesce(slots, 0) AS BIGINT) AS allocated_slots, CAST(coalesce(trials, 0) AS DOUBLE) AS trials, CAST(coalesce(promotions, 0) AS DOUBLE) AS promotions, CAST(coalesce(accepts, 0) AS DOUBLE) AS accepts, round(coalesce(score_gain, 0), 6) AS score_gain, round(coalesce(cost_ms, 0), 6) AS cost_ms,
+ round(coalesce(v, 0), 6) AS estimated_value, CAST(0 AS DOUBLE) AS prior_trials, CAST(0 AS DOUBLE) AS prior_share FROM t FULL JOIN s USING (file, strategy)""",
 )
 def allocation_report(spark, d):
     """Slots, totals and decayed value of all strategies that were tried or funded."""
-    return rounded(e.allocation_report(records(spark, d)), 4)
+    return rounded(e.allocation_report(records(spark, d)))
 
 
 @query(
