@@ -24,11 +24,13 @@ depends on it.
 
 *Stars.* A key's bucket gives the pairs of its least member with the others, not all
 pairs. A task that sees many members of one key replaces their key by one of its own and
-passes on their least member only, so no bucket gathers more than a few rows a task.
+passes on their least member only, so no bucket gathers more than a few rows a task; such
+a member is the head of its task's star.
 Pairs that sizes and parity bits don't exclude are verified on the whole sets, and links
 give components.
 
-*Crossing.* The members of a star that are then still in different components are
+*Crossing.* Stars are made whole again first: the members of a head's star are members of
+the head's bucket too. The members of a star that are then still in different components are
 compared by their parity bits: those outside the star's largest component with all, in
 blocks of bounded size. Each such component sends its nearest pairs of a block to
 verification. If it had more, and they remain apart, the round is repeated with more pairs,
@@ -42,6 +44,7 @@ component id of its own; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +63,10 @@ SLOTS = 1 << 22
 SLICE, FAN_IN = 1 << 16, 64
 #: Rows that a task looks through for keys that it sees at least OFTEN times.
 HELD, OFTEN = 400_000, 64
+#: Keys of a task's own are at least OWN; others have KEY_BITS.
+OWN, KEY_BITS = 1 << 57, 48
+#: Shingles whose keys make a bucket of packed keys, on average.
+BUCKET = 1 << 22
 #: Members and outsiders that meet in a block at most.
 BLOCK = 2048
 #: Pairs that a component sends to verification from a block, in the first round.
@@ -218,13 +225,25 @@ def sketch_documents(docs: DataFrame, salt: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(bits, pa.binary()), pa.nulls(len(sets), pa.binary())], names)
         if seen:
             n = SLOTS // SLICE
-            slices = [x.tobytes() for x in np.minimum(counters, 65535).astype(np.uint16).reshape(n, SLICE)]
+            slices = [deflated(x) for x in np.minimum(counters, 65535).astype(np.uint16).reshape(n, SLICE)]
             task = np.full(n, TaskContext.get().partitionId())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, -1)), pa.array(task), *[pa.array(np.zeros(n, np.int64))] * 2, pa.nulls(n, pa.binary()), pa.array(slices, pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(sketch), SKETCHES)
 
 
+def deflated(counters: np.ndarray) -> bytes:
+    """Counters byte by byte, the low bytes of all first: most of them are small."""
+    return bytes([counters.itemsize]) + zlib.compress(np.ascontiguousarray(counters.view(np.uint8).reshape(len(counters), -1).T).tobytes(), 1)
+
+
+def inflated(data: pa.Buffer) -> np.ndarray:
+    """The counters of ``deflated``."""
+    width = data[0]
+    planes = np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"u{width}").ravel()
+
+
 def common_bitmap(counted: DataFrame, scratch: Scratch) -> np.ndarray:
     """A bitmap of the slots with clearly more shingles than by chance, of fixed size.
 
@@ -237,8 +256,8 @@ def common_bitmap(counted: DataFrame, scratch: Scratch) -> np.ndarray:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, np.uint64)
         for n in group.column("n"):
-            total += np.frombuffer(n.as_buffer(), np.uint16 if len(n.as_buffer()) == 2 * SLICE else np.uint64)
-        return pa.table({"slice": group.column("slice").slice(0, 1), "part": group.column("part").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+            total += inflated(n.as_buffer())
+        return pa.table({"slice": group.column("slice").slice(0, 1), "part": group.column("part").slice(0, 1), "n": pa.array([deflated(total)], pa.binary())})
 
     while parts > 1:
         sums = sums.withColumn("part", (F.col("part") / FAN_IN).cast("long"))
@@ -248,7 +267,7 @@ def common_bitmap(counted: DataFrame, scratch: Scratch) -> np.ndarray:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in batch.column(0):
-                n = np.frombuffer(n.as_buffer(), np.uint16 if len(n.as_buffer()) == 2 * SLICE else np.uint64)
+                n = inflated(n.as_buffer())
                 yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())])], ["n"])
 
     load = (sums.select("n").mapInArrow(summed, "n long").agg(F.sum("n")).first()[0] or 0) / SLOTS
@@ -258,7 +277,7 @@ def common_bitmap(counted: DataFrame, scratch: Scratch) -> np.ndarray:
         for batch in batches:
             bits = []
             for n in batch.column(1):
-                n = np.frombuffer(n.as_buffer(), np.uint16 if len(n.as_buffer()) == 2 * SLICE else np.uint64)
+                n = inflated(n.as_buffer())
                 bits.append(np.packbits(n >= least, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["slice", "bits"])
 
@@ -269,8 +288,8 @@ def common_bitmap(counted: DataFrame, scratch: Scratch) -> np.ndarray:
 
 
 def spread_often(key: np.ndarray, node: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (key, node) where keys with many rows are replaced by keys of ``own``, and each
-    such key's least node stands once under the key itself."""
+    """Rows (key, node) where keys with many rows are replaced by keys of ``own``, and, after
+    all rows, each such key's least node stands once under the key itself."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     first = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
@@ -279,15 +298,67 @@ def spread_often(key: np.ndarray, node: np.ndarray, own: int) -> tuple[np.ndarra
     if not len(many):
         return key, node
     replaced = np.repeat(n >= OFTEN, n)
-    fresh = (mix(key[replaced].view(np.uint64), own) >> np.uint64(8)).view(np.int64)
+    fresh = (mix(key[replaced].view(np.uint64), own) >> np.uint64(8)).view(np.int64) | OWN
     lead_key, lead_node = key[many], node[many]
     key = key.copy()
     key[replaced] = fresh
     return np.concatenate([key, lead_key]), np.concatenate([node, lead_node])
 
 
-def join_keys(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame:
-    """(key, node): the keys of every class, once a task."""
+PACKED = "bucket int, wide boolean, keys binary, nodes binary, places binary"
+
+
+def pack_keys(key: np.ndarray, node: np.ndarray, head: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of ``PACKED``: by bucket the quotients of keys, ``head`` as their last bit, as
+    differences in order, and their nodes, by their places among the distinct ones if that
+    is shorter."""
+    rows = []
+    quotient, bucket = (key // buckets) << 1 | head, key % buckets
+    order = np.lexsort((quotient, key >= OWN, bucket))
+    quotient, bucket, node, own = quotient[order], bucket[order], node[order], key[order] >= OWN
+    cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(own) != 0)) + 1).tolist(), len(key)]
+    for i, j in zip(cuts, cuts[1:]):
+        steps = np.diff(quotient[i:j], prepend=0)
+        wide = bool(steps[1:].max(initial=0) >> 32)
+        distinct, place = np.unique(node[i:j], return_inverse=True)
+        short = 8 * len(distinct) + 2 * (j - i) < 8 * (j - i) and len(distinct) <= 1 << 16
+        first = steps[:1].tobytes()
+        steps = steps[1:].astype(np.int64 if wide else np.uint32).tobytes()
+        rows.append((int(bucket[i]), wide, first + steps, (distinct if short else node[i:j]).tobytes(), place.astype(np.uint16).tobytes() if short else b""))
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.bool_(), *[pa.binary()] * 3))], ["bucket", "wide", "keys", "nodes", "places"])
+
+
+def unpack_keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The quotients, with the heads' bit, and the nodes of rows of a bucket."""
+    quotients, nodes = [], []
+    for wide, keys, node, place in zip(rows.column("wide").to_pylist(), *[(x for c in rows.column(k).chunks for x in c) for k in ("keys", "nodes", "places")]):
+        data, node = keys.as_buffer(), np.frombuffer(node.as_buffer(), np.int64)
+        steps = np.frombuffer(data, np.int64 if wide else np.uint32, offset=8).astype(np.int64)
+        quotients.append(np.cumsum(np.append(np.frombuffer(data, np.int64, 1), steps)))
+        nodes.append(node[np.frombuffer(place.as_buffer(), np.uint16)] if place.as_buffer().size else node)
+    return np.concatenate(quotients), np.concatenate(nodes)
+
+
+def star_pairs(quotient: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of each key's least node with the others, and whether the other is a head."""
+    key = quotient >> 1
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    met = np.flatnonzero((np.diff(key, prepend=-1) == 0) | (np.diff(key, append=-1) == 0))
+    if not len(met):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    key, order = key[met], order[met]
+    node, head = node[order], quotient[order] & 1 == 1
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    lead = np.repeat(np.minimum.reduceat(node, first), np.diff(np.append(first, len(key))))
+    other = np.flatnonzero(node != lead)
+    found = np.unique(np.stack([lead[other], node[other], head[other]], axis=1), axis=0)
+    return found[:, 0].copy(), found[:, 1].copy(), found[:, 2] == 1
+
+
+def join_keys(docs: DataFrame, common: np.ndarray, salt: int, buckets: int) -> DataFrame:
+    """The packed keys of every class, once a task."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(common.tobytes())
 
@@ -300,7 +371,7 @@ def join_keys(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame:
             own = (TaskContext.get().partitionId() << 20) + flushes + 1
             key, node = spread_often(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]), own)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+            return pack_keys(key, node, np.arange(len(key)) >= rows, buckets)
 
         for batch in batches:
             sets = shingle_sets(batch.column(0).to_pylist())
@@ -313,7 +384,7 @@ def join_keys(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame:
             if not fresh:
                 continue
             key, whose = keys([sets[i] for i in fresh], bitmap)
-            held.append((key, node[fresh][whose]))
+            held.append((key >> (58 - KEY_BITS), node[fresh][whose]))
             rows += len(key)
             if rows >= HELD:
                 yield flush()
@@ -321,42 +392,42 @@ def join_keys(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(tidy(emit), "key long, node long")
+    return docs.select("text").mapInArrow(tidy(emit), PACKED)
 
 
-def stars(keyed: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of a bucket's least node and another one."""
-    spark = keyed.sparkSession
+def stars(packed: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of a bucket's least node and another one; ``head`` if b is
+    the head of a task's star whose members have a's key too."""
+    spark = packed.sparkSession
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader, found, rows = None, 0, [], 0
+        held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-        for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            opens = np.flatnonzero(np.append(last is None or key[0] != last, np.diff(key) != 0))
-            lead = np.full(len(key), leader, np.int64)
-            if len(opens):
-                lead[opens[0] :] = np.repeat(node[opens], np.diff(np.append(opens, len(key))))
-            other = np.flatnonzero(node != lead)
-            if len(other):
-                found.append(np.stack([lead[other], node[other]], axis=1))
-                rows += len(other)
-            last, leader = key[-1], lead[-1]
-            if rows > 400_000:
-                yield flush()
-                rows = 0
-        if found:
+            a, b, head = star_pairs(*unpack_keys(pa.Table.from_batches(held)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(head)], ["a", "b", "head"])
+
+        for batch in batches:  # a bucket's rows stand together
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    if held and held[-1].column(0)[0].as_py() != bucket[i]:
+                        yield flush()
+                    held.append(batch.slice(i, j - i))
+        if held:
             yield flush()
 
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(tidy(pair), "a long, b long").distinct()
+    dealt = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidy(pair), "a long, b long, head boolean").groupBy("a", "b").agg(F.max("head").alias("head"))
+
+
+def whole_stars(star: DataFrame) -> DataFrame:
+    """The pairs (a, b) of stars and, for each head among them, a with the members of its star."""
+    pairs = star.select("a", "b")
+    heads = star.where("head").select(F.col("a").alias("least"), F.col("b").alias("a"))
+    return pairs.union(pairs.join(heads, "a").select("least", "b")).distinct()
 
 
 def facts_of(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -367,10 +438,12 @@ def facts_of(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def sifted(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and parity bits don't exclude."""
-    faced = pairs.join(facts.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("q")), "b")
-    faced = faced.join(facts.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("p")), "a")
-    faced = faced.where(4 * F.least("m", "n") >= 3 * F.greatest("m", "n")).select("a", "b", "m", "n", "p", "q")
+    """The pairs (a, b) that sizes and, of those left, parity bits don't exclude."""
+    faced = pairs.select("a", "b").join(facts.select(F.col("node").alias("b"), F.col("size").alias("n")), "b")
+    faced = faced.join(facts.select(F.col("node").alias("a"), F.col("size").alias("m")), "a")
+    faced = faced.where(4 * F.least("m", "n") >= 3 * F.greatest("m", "n"))
+    faced = faced.join(facts.select(F.col("node").alias("b"), F.col("bits").alias("q")), "b")
+    faced = faced.join(facts.select(F.col("node").alias("a"), F.col("bits").alias("p")), "a").select("a", "b", "m", "n", "p", "q")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -528,7 +601,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     common = common_bitmap(sketched.where("n_shingles = -1"), scratch)
 
     # each member of a bucket with its least one
-    star = scratch.write(stars(join_keys(docs, common, salt)), "stars", small=True)
+    shingles = sketched.where("bits IS NOT NULL").agg(F.sum("n_shingles")).first()[0] or 0
+    star = scratch.write(stars(join_keys(docs, common, salt, max(8, -(-shingles // BUCKET)))), "stars", small=True)
     facts = scratch.write(facts_of(sketched, star), "star-facts", small=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -540,6 +614,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     near = scratch.write(sifted(star, facts), "sifted", small=True)
     found = linked(near)
     scratch.drop(near)
+    heads, star = star, scratch.write(whole_stars(star), "whole-stars", small=True)
+    scratch.drop(heads)
     labels = components(found, "jaccard")
 
     # members of different components in the stars that hold several

@@ -1,6 +1,7 @@
 """Sets of every size are keyed by the whole pigeonhole."""
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from quarry.llm import jaccard_join as j
@@ -73,3 +74,47 @@ def test_nearest_pairs_of_each_component():
     assert set(zip(a.tolist(), b.tolist())) == {(x, y) for y in (5, 6) for x in range(7) if x < y} and not more.any()
     a, b, more = j.nearest_pairs(node, c, size, bits, everyone, outside, 2)
     assert more.all() and set(zip(a.tolist(), b.tolist())) >= {(0, 5), (0, 6)}
+
+
+def test_pairs_whose_only_key_is_common_meet_across_tasks(spark):
+    """Two documents of different tasks that share one key alone, one that both tasks see often."""
+    rng = np.random.default_rng(3)
+    text = lambda: [f"w{x}" for x in rng.integers(0, 10**6, 11)]
+    of = lambda words: set(j.keys(j.shingle_sets([" ".join(words)]), NONE)[0].tolist())
+    for _ in range(20_000):
+        x, other = text(), text()
+        y = [*x[:-1], other[-1]]
+        shared = of(x) & of(y)
+        if len(shared) == 1 and min(shared) >> 56 == 2:  # an empty part
+            break
+    fillers = [words for words in (text() for _ in range(20_000)) if shared <= of(words)][:160]
+    assert len(fillers) == 160
+    docs = [" ".join(words) for words in (*fillers[:80], x, *fillers[80:], y)]
+    rows = spark.sparkContext.parallelize(list(enumerate(docs)), 1).toDF("doc_id long, text string")
+    rows = rows.where("doc_id <= 80").coalesce(1).union(rows.where("doc_id > 80").coalesce(1))
+    found = {r.doc_id: r.component_id for r in j.jaccard_components(rows).collect()}
+    assert found == {i: i for i in range(161)} | {161: 80}
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(4)
+    key = np.concatenate([rng.integers(0, 1 << j.KEY_BITS, 5000), rng.integers(j.OWN, 2 * j.OWN, 50)])
+    node, head = rng.integers(-(2**63), 2**63 - 1, 40)[rng.integers(0, 40, len(key))], rng.random(len(key)) < 0.1
+    rows = j.pa.Table.from_batches([j.pack_keys(key, node, head, 7)])
+    found = set()
+    for bucket in range(7):
+        quotient, of = j.unpack_keys(rows.filter(j.pa.compute.equal(rows.column("bucket"), bucket)))
+        found |= set(zip(((quotient >> 1) * 7 + bucket).tolist(), of.tolist(), (quotient & 1).tolist()))
+    assert found == set(zip(key.tolist(), node.tolist(), head.astype(int).tolist()))
+
+
+def test_stars_of_a_key_that_tasks_replaced_are_made_whole(spark):
+    """Each of three tasks sees one key 100 times; its least node's star then holds all 300."""
+    blocks = []
+    for task in range(3):
+        node = np.arange(100) * 3 + task
+        key, node = j.spread_often(np.full(100, 5), node, own=task + 1)
+        blocks.append(j.pack_keys(key, node, np.arange(len(key)) >= 100, 2))
+    star = j.stars(spark.createDataFrame([tuple(r.values()) for r in j.pa.Table.from_batches(blocks).to_pylist()], j.PACKED))
+    assert {r.b for r in star.where("a = 0").collect()} != set(range(1, 300))
+    assert {r.b for r in j.whole_stars(star).where("a = 0").collect()} == set(range(1, 300))
