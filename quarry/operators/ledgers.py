@@ -270,7 +270,7 @@ def roulette(df: DataFrame, group: list[str], weight: str, draw: float, order: s
     w = Window.partitionBy(*group)
     run = F.sum(weight).over(w.orderBy(order).rowsBetween(*RUNNING))
     reached = df.withColumn("run", run).withColumn("total", F.sum(weight).over(w)).where(F.col("run") >= F.col("total") * draw)
-    return reached.groupBy(*group).agg(F.min_by(order, "run").alias(order))
+    return reached.groupBy(*group).agg(F.min(order).alias(order))  # not the least run: weights may be 0 or less
 
 
 def race_order(weight: Column, seed: int, *keys: str) -> Column:

@@ -100,3 +100,10 @@ def test_guards_keep_a_better_interval_inconclusive(spark):
     rows = spark.createDataFrame([(-2.0, -1.0, 9, -0.1, -0.2), (-2.0, -1.0, 9, 0.1, -0.2), (-2.0, -1.0, 9, None, -0.2), (1.0, 2.0, 9, -1.0, -1.0), (-1.0, 1.0, 9, -1.0, -1.0), (-2.0, -1.0, 2, -1.0, -1.0)], "lo double, hi double, n int, g double, h double")
     got = [r[0] for r in rows.select(paired.verdict(F.col("lo"), F.col("hi"), F.col("n"), guards=(F.col("g"), F.col("h")))).collect()]
     assert got == ["better", "inconclusive", "inconclusive", "worse", "inconclusive", "insufficient"]
+
+
+def test_roulette_takes_the_first_row_that_reaches_the_draw(spark):
+    """Weights that aren't positive leave later rows with as small a running weight, or a smaller one."""
+    rows = [("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, -2.0), ("a", 4, 2.0), ("b", 1, 1.0), ("b", 2, 1.0), ("b", 3, 0.0), ("b", 4, 0.0), ("b", 5, 2.0)]
+    found = l.roulette(spark.createDataFrame(rows[::-1], "g string, id int, w double"), ["g"], "w", 0.5, "id").collect()
+    assert {r.g: r.id for r in found} == {"a": 2, "b": 2}
