@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scalars import axis_shape, stratum
 
+#: Resamples of a cell that one row draws.
+RESAMPLES = 16
+
 
 def pair_arms(runs: DataFrame, cell: list[str], seed: str, metric: str, treatment: str, control: str) -> DataFrame:
     """[J6, J7] One row a cell and seed: both arms' first value; failures where either lacks one."""
@@ -39,17 +42,23 @@ def paired_summary(pairs: DataFrame, cell: list[str]) -> DataFrame:
 def bootstrap_interval(pairs: DataFrame, cell: list[str], resamples: int = 2000, seed: int = 1, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """[A39] Percentile interval of the mean, nearest rank.
 
-    Draw k of resample b is the row numbered by a hash of (seed, cell, b, k): a join, so
-    the draws are the same under any partitioning.
+    Draw k of resample b is the row numbered by a hash of (seed, cell, b, k), so the draws
+    are the same under any partitioning. Each row of a block of resamples holds its cell's
+    sorted differences, 8 bytes each, and draws are summed one by one: nothing is as large as
+    the draws.
     """
-    rows = pairs.where(F.col("difference").isNotNull()).select(*cell, "difference")
+    known = pairs.where(F.col("difference").isNotNull()).groupBy(*cell).agg(F.sort_array(F.collect_list(F.col("difference").cast("double"))).alias("sorted"))
+    n = F.size("sorted")
+    blocks = known.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(resamples), F.lit(RESAMPLES))))
+    blocks = blocks.repartition(-(-resamples // RESAMPLES), *cell, "first")
+
+    def mean(b: Column) -> Column:
+        draw = lambda k: F.get("sorted", F.pmod(F.xxhash64(F.lit(seed), *cell, b, k), n.cast("long")).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda total, k: total + draw(k)) / n
+
+    own = F.sequence("first", F.least(F.col("first") + RESAMPLES - 1, F.lit(resamples)))
+    means = blocks.select(*cell, F.explode(F.transform(own, mean)).alias("mean"))
     by = Window.partitionBy(*cell)
-    rows = rows.withColumn("row", F.row_number().over(by.orderBy("difference")) - 1)
-    sizes = rows.groupBy(*cell).agg(F.count("*").alias("n"))
-    draws = sizes.select(*cell, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    draws = draws.select(*cell, "n", "b", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-    draws = draws.withColumn("row", F.pmod(F.xxhash64(F.lit(seed), *cell, "b", "k"), F.col("n")))
-    means = draws.join(rows, [*cell, "row"]).groupBy(*cell, "b").agg(F.avg("difference").alias("mean"))
     ranked = means.withColumn("rank", F.row_number().over(by.orderBy("mean")) - 1)
     at = lambda q: F.max(F.when(F.col("rank") == round(q * (resamples - 1)), F.col("mean")))
     return ranked.groupBy(*cell).agg(at(low).alias("ci_low"), at(high).alias("ci_high"))

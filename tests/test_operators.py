@@ -227,3 +227,15 @@ def test_decision_loop_sets(spark):
 def test_bench_arms_have_equal_budgets(spark):
     runs = optimisers.run_bench(spark, ["tanh"], [4], [1, 2], 200).collect()
     assert len(runs) == 4 and all(r.error is None and 150 < r.evaluations <= 200 and r.final_loss <= r.start_loss for r in runs)
+
+
+def test_bootstrap_draws_are_not_rows(spark):
+    rows = spark.createDataFrame([("c", float(v * v % 37), False) for v in range(60)] + [("d", 2.5, False), ("d", None, True)], "cell string, difference double, failed boolean")
+    found = paired.bootstrap_interval(rows, ["cell"], 100, seed=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # a join of draws is as large as resamples times pairs
+    draws = spark.range(1, 101).selectExpr("'c' AS cell", "CAST(id AS INT) AS b", "explode(sequence(1, 60)) AS k").selectExpr("b", "pmod(xxhash64(3, cell, b, k), 60L) AS at").collect()
+    known = sorted(float(v * v % 37) for v in range(60))
+    means = sorted(sum(known[r.at] for r in draws if r.b == b) / 60 for b in range(1, 101))
+    got = {r.cell: (r.ci_low, r.ci_high) for r in found.collect()}
+    assert got["d"] == (2.5, 2.5) and got["c"] == pytest.approx((means[round(0.025 * 99)], means[round(0.975 * 99)]))
