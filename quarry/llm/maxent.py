@@ -20,8 +20,9 @@ regularised gradient (Newton) steps give the weights of all pairs and classes of
 that history at once; the penalty acts as a discount of seen pairs. The scales are then
 trained on the documents that the weights haven't seen by synchronous gradient rounds: tasks
 return sums of gradients and curvatures, the driver takes the step. What is gathered grows
-with the corpus; all workers hold the model, for which ``PAIRS`` bounds the pairs: the least
-count for a weight rises until they fit.
+with the corpus. Every pair has a weight. All workers hold the normalisers and the weights of
+the commonest pairs, at most ``PAIRS``; those of rarer pairs stay a written table, which the
+documents' rarer pairs meet in a join.
 Results don't depend on the partitioning, but for the rounding of sums.
 
 *Counts* of all training words are a written table. A document's words outside the
@@ -56,7 +57,7 @@ COMMON = 131_072
 HASHED = 8_192
 HISTORIES, TARGETS = COMMON + HASHED, COMMON + 1
 END = 0  # the id of the end
-#: Weighted pairs of the model at most: 12 bytes each in every worker.
+#: Pairs whose weights every worker holds, at most: 12 bytes each. Others are joined.
 PAIRS = 1 << 21
 #: Penalties of the weights of pairs, of their squares, and of the squares of classes' weights.
 PAIR_DISCOUNT, PAIR_PENALTY, CLASS_PENALTY = 0.3, 0.04, 0.3
@@ -185,10 +186,11 @@ class Model:
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     scales: np.ndarray = field(default_factory=lambda: np.repeat([0.7, 0.6], SCALES))
+    rare: DataFrame | None = None  # (code, weight) of the pairs that aren't in codes
 
     def packed(self) -> bytes:
         """The model for the workers; weights of classes and pairs are 16-bit numbers already."""
-        small = replace(self, previous=self.previous.astype(np.float16), skipped=self.skipped.astype(np.float16), codes=np.diff(self.codes, prepend=0), weights=self.weights.astype(np.float16))
+        small = replace(self, previous=self.previous.astype(np.float16), skipped=self.skipped.astype(np.float16), codes=np.diff(self.codes, prepend=0), weights=self.weights.astype(np.float16), rare=None)
         return zlib.compress(pickle.dumps(small), 1)
 
     @classmethod
@@ -221,6 +223,13 @@ class Model:
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return np.where(self.codes[at] == codes, self.weights[at], 0.0)[back]
 
+    def unheld(self, one: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Which tokens' pairs aren't held."""
+        code = one * TARGETS + target
+        if not len(self.codes):
+            return np.ones(len(code), bool)
+        return self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] != code
+
     def log10(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class, and of vocabulary words in their class."""
         out = np.empty(len(tokens))
@@ -403,7 +412,8 @@ SOLVED = "kind int, ids binary, weights binary, often binary, contexts binary, n
 
 
 def solve(vocabulary: Vocabulary, level: int, kind: int, codes: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
-    """The weights of a bucket's histories: of classes, and of pairs from a level of counts on."""
+    """The weights of a bucket's histories: of classes, of pairs from a level of counts on, and
+    of rarer pairs, kind -1."""
     width = TARGETS if kind == PAIR else CLASSES
     h, y = codes // width, codes % width
     c = vocabulary.classes[y] if kind == PAIR else y
@@ -412,17 +422,19 @@ def solve(vocabulary: Vocabulary, level: int, kind: int, codes: np.ndarray, n: n
     often = np.minimum(np.log2(np.maximum(table.sum(axis=1), 1)) / 2, SCALES - 1).astype(np.uint8)
     out = {"ids": ids.astype(np.int32), "weights": class_weights(table, vocabulary.class_share).astype(np.float16), "often": often, "contexts": np.zeros(0, np.int64), "normalisers": np.zeros(0, np.float32)}
     found = {"kind": kind, **{k: x.tobytes() for k, x in out.items()}}
-    pairs = {"kind": 0, **dict.fromkeys(out, b"")}
+    pairs, rare = ({"kind": k, **dict.fromkeys(out, b"")} for k in (0, -1))
     if kind == PAIR:
-        some = np.flatnonzero((y < COMMON) & (count_level(n) >= level))
+        some = np.flatnonzero(y < COMMON)
         context = h[some] * CLASSES + c[some]
         order = np.argsort(context, kind="stable")
         some, context = some[order], context[order]
         w, z = pair_weights(context, n[some].astype(float), table[row[some], c[some]], np.exp(vocabulary.share[y[some]]))
         first = np.flatnonzero(np.diff(context, prepend=-1))
-        arrays = {"ids": codes[some], "weights": w.astype(np.float16), "contexts": context[first], "normalisers": z[first].astype(np.float32)}
+        held, w = count_level(n[some]) >= level, w.astype(np.float16)
+        arrays = {"ids": codes[some][held], "weights": w[held], "contexts": context[first], "normalisers": z[first].astype(np.float32)}
         pairs |= {k: x.tobytes() for k, x in arrays.items()}
-    return {k: [found[k], pairs[k]] for k in found}
+        rare |= {"ids": codes[some][~held].tobytes(), "weights": w[~held].tobytes()}
+    return {k: [found[k], pairs[k], *([rare[k]] if rare["ids"] else [])] for k in found}
 
 
 def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scratch, most: int = PAIRS) -> tuple[Model, Broadcast]:
@@ -446,7 +458,8 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
 
     small_batches(spark, 1, 4)  # a bucket at a time
     model = Model(vocabulary)
-    solved = merged.select("kind", "codes", "counts").mapInArrow(tidy(weigh), SOLVED).toArrow()
+    written = scratch.write(merged.select("kind", "codes", "counts").mapInArrow(tidy(weigh), SOLVED), "weights")
+    solved = written.where("kind >= 0").toArrow()
     codes, weights = [], []
     for kind, *arrays in zip(*[solved.column(k) for k in ("kind", "ids", "weights", "often", "contexts", "normalisers")]):
         ids, w, often, contexts, normalisers = (np.frombuffer(x.as_buffer(), t) for x, t in zip(arrays, (np.int32 if kind.as_py() else np.int64, np.float16, np.uint8, np.int64, np.float32)))
@@ -465,12 +478,25 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
     texts = coded.where((F.col("kind") == DOCUMENT) & (F.col("bucket") == SCALING)).select("codes")
     del solved
     scratch.drop(merged)
+    if histogram[1:level].sum():
+        model.rare = written.where("kind = -1").select("ids", "weights").mapInArrow(tidy(listed), "code long, weight double")
+    else:
+        scratch.drop(written)
     shared = spark.sparkContext.broadcast(model.packed())
     for _ in range(ROUNDS):
         model.scales = stepped(shared, model.scales, texts)
     return model, shared
 
 
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (code, weight) of packed weights."""
+    for batch in batches:
+        for codes, w in zip(batch.column(0), batch.column(1)):
+            codes, w = np.frombuffer(codes.as_buffer(), np.int64), np.frombuffer(w.as_buffer(), np.float16).astype(np.float64)
+            for at in range(0, len(codes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 16)]), pa.array(w[at : at + (1 << 16)])], ["code", "weight"])
+
+
 def documents_of(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and bounds of a batch's documents."""
     tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in codes]
@@ -497,13 +523,13 @@ def stepped(shared: Broadcast, scales: np.ndarray, texts: DataFrame) -> np.ndarr
     return np.clip(scales + np.clip(step, -1, 1), 0.0, 2.0)
 
 
-SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
+SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>"
 
 
 def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the documents in a
     written table of ``encode_documents``."""
-    v, scales = model.vocabulary, model.scales
+    v, scales, joined = model.vocabulary, model.scales, model.rare is not None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -514,19 +540,32 @@ def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: B
             c = np.append(m.vocabulary.counts, 0)[np.minimum(tokens, COMMON)]
             common = tokens < COMMON
             total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731, B023
+            one, two = history(tokens, ends)
+            rare = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            if joined:
+                target = np.minimum(tokens, COMMON)
+                at = np.flatnonzero(common & m.unheld(one, target))
+                cuts = np.searchsorted(at, ends).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(one[at] * TARGETS + target[at]))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
                     pa.array(np.diff(ends)),
                     pa.array(total((common & (c > 0)).astype(np.int64))),
                     pa.array(total(np.where(common, m.vocabulary.base(c), 0.0))),
-                    pa.array(total(m.log10(tokens, *history(tokens, ends)))),
+                    pa.array(total(m.log10(tokens, one, two))),
+                    rare,
                 ],
-                ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"],
+                ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
             )
 
     numbered = coded.where("kind = 0")
     scored = numbered.select("row_id", "doc_id", "held_out", "codes").mapInArrow(tidy(score), SCORED)
+    if joined:
+        scored = materialize(scored, "maxent-scored")
+        pairs = scored.select("row_id", F.explode("rare").alias("code")).groupBy("code", "row_id").count()
+        gained = pairs.join(model.rare, "code").groupBy("row_id").agg((F.sum(F.col("count") * F.col("weight")) / float(np.log(10))).alias("gained"))
+        scored = scored.drop("rare").join(gained, "row_id", "left").withColumn("model", F.col("model") + F.coalesce("gained", F.lit(0.0))).drop("gained")
     rest = numbered.select("row_id", F.explode("rest").alias("r")).select("row_id", "r.word", F.col("r.n").alias("times"))
     met = rest.join(counts.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = met.groupBy("row_id").agg(

@@ -250,3 +250,14 @@ def test_op6_odd_documents(spark):
     assert maxent.score_corpus(docs.where("false")).count() == 0
     few = maxent.score_corpus(docs, most=1).collect()  # a bound on pairs that few of them meet
     assert len(few) == 6 and all(math.isfinite(r.score) for r in few)
+
+
+def test_pairs_beyond_those_that_workers_hold_keep_their_weights(spark):
+    """Scores are the same whether weights are held or joined."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in np.cumsum(rng.integers(0, 4, rng.integers(0, 50))) % 40) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, i % 9 == 0) for i, t in enumerate([*texts, None, "new words w1 w2 w2"])], "doc_id long, text string, held_out boolean")
+    held = {r.doc_id: r.score for r in maxent.score_corpus(docs).collect()}
+    for most in (0, 1, 60):
+        joined = {r.doc_id: r.score for r in maxent.score_corpus(docs, most=most).collect()}
+        assert joined == pytest.approx(held, abs=1e-9)
