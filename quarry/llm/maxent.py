@@ -21,8 +21,9 @@ that history at once; the penalty acts as a discount of seen pairs. The scales a
 trained on the documents that the weights haven't seen by synchronous gradient rounds: tasks
 return sums of gradients and curvatures, the driver takes the step. What is gathered grows
 with the corpus. Every pair has a weight. All workers hold the normalisers and the weights of
-the commonest pairs, at most ``PAIRS``; those of rarer pairs stay a written table, which the
-documents' rarer pairs meet in a join.
+the commonest pairs, at most ``PAIRS``; those of rarer pairs stay a written table, packed by
+bucket of histories. Documents ask for theirs in packed lists, one for every bucket and chunk of
+documents, and get back a sum for each document that asked.
 Results don't depend on the partitioning, but for the rounding of sums.
 
 *Counts* of all training words are a written table. A document's words outside the
@@ -57,7 +58,7 @@ COMMON = 131_072
 HASHED = 8_192
 HISTORIES, TARGETS = COMMON + HASHED, COMMON + 1
 END = 0  # the id of the end
-#: Pairs whose weights every worker holds, at most: 12 bytes each. Others are joined.
+#: Pairs whose weights every worker holds, at most: 12 bytes each. Others are asked for.
 PAIRS = 1 << 21
 #: Penalties of the weights of pairs, of their squares, and of the squares of classes' weights.
 PAIR_DISCOUNT, PAIR_PENALTY, CLASS_PENALTY = 0.3, 0.04, 0.3
@@ -186,11 +187,13 @@ class Model:
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     scales: np.ndarray = field(default_factory=lambda: np.repeat([0.7, 0.6], SCALES))
-    rare: DataFrame | None = None  # (code, weight) of the pairs that aren't in codes
+    rare: DataFrame | None = None  # packed (bucket, ids, weights) of the pairs that aren't in codes
+    buckets: int = 1  # of histories, by which the rare pairs are dealt
+    written: DataFrame | None = None  # the table that rare reads
 
     def packed(self) -> bytes:
         """The model for the workers; weights of classes and pairs are 16-bit numbers already."""
-        small = replace(self, previous=self.previous.astype(np.float16), skipped=self.skipped.astype(np.float16), codes=np.diff(self.codes, prepend=0), weights=self.weights.astype(np.float16), rare=None)
+        small = replace(self, previous=self.previous.astype(np.float16), skipped=self.skipped.astype(np.float16), codes=np.diff(self.codes, prepend=0), weights=self.weights.astype(np.float16), rare=None, written=None)
         return zlib.compress(pickle.dumps(small), 1)
 
     @classmethod
@@ -304,6 +307,15 @@ DOCUMENT, PAIR, SKIP = 0, 1, 2
 HELD_OUT, WEIGHTS, SCALING = 0, 1, 2
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, best in order, as deflated differences."""
+    return zlib.compress(np.diff(x.astype(np.int64), prepend=0).tobytes(), 1)
+
+
+def unpack(data) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.int64))
+
+
 def split_by_history(codes: np.ndarray, width: int, buckets: int) -> list[tuple[int, np.ndarray]]:
     """Which of the codes of a history are in each bucket, in order."""
     bucket = (codes // width * 0x9E3779B1 >> 8) % buckets
@@ -408,7 +420,7 @@ def least_level(sizes: np.ndarray, most: int) -> int:
     return int(np.flatnonzero(np.append(above, 0) <= most)[0])
 
 
-SOLVED = "kind int, ids binary, weights binary, often binary, contexts binary, normalisers binary"
+SOLVED = "bucket int, kind int, ids binary, weights binary, often binary, contexts binary, normalisers binary"
 
 
 def solve(vocabulary: Vocabulary, level: int, kind: int, codes: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
@@ -433,7 +445,11 @@ def solve(vocabulary: Vocabulary, level: int, kind: int, codes: np.ndarray, n: n
         held, w = count_level(n[some]) >= level, w.astype(np.float16)
         arrays = {"ids": codes[some][held], "weights": w[held], "contexts": context[first], "normalisers": z[first].astype(np.float32)}
         pairs |= {k: x.tobytes() for k, x in arrays.items()}
-        rare |= {"ids": codes[some][~held].tobytes(), "weights": w[~held].tobytes()}
+        rarer = np.sort(some[~held])  # codes are in order
+        if len(rarer):
+            order = np.empty(len(codes), np.int64)
+            order[some] = np.arange(len(some))
+            rare |= {"ids": pack(codes[rarer]), "weights": zlib.compress(w[order[rarer]].tobytes(), 1)}
     return {k: [found[k], pairs[k], *([rare[k]] if rare["ids"] else [])] for k in found}
 
 
@@ -452,13 +468,14 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for bucket, kind, codes, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 found = solve(known.value, level, kind, np.cumsum(np.frombuffer(codes.as_buffer(), np.int64)), np.frombuffer(n.as_buffer(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(found["kind"], pa.int32()), *[pa.array(found[k], pa.binary()) for k in ("ids", "weights", "often", "contexts", "normalisers")]], ["kind", "ids", "weights", "often", "contexts", "normalisers"])
+                buckets = pa.array([bucket] * len(found["kind"]), pa.int32())
+                yield pa.RecordBatch.from_arrays([buckets, pa.array(found["kind"], pa.int32()), *[pa.array(found[k], pa.binary()) for k in ("ids", "weights", "often", "contexts", "normalisers")]], ["bucket", "kind", "ids", "weights", "often", "contexts", "normalisers"])
 
     small_batches(spark, 1, 4)  # a bucket at a time
-    model = Model(vocabulary)
-    written = scratch.write(merged.select("kind", "codes", "counts").mapInArrow(tidy(weigh), SOLVED), "weights")
+    model = Model(vocabulary, buckets=buckets)
+    written = scratch.write(merged.select("bucket", "kind", "codes", "counts").mapInArrow(tidy(weigh), SOLVED), "weights")
     solved = written.where("kind >= 0").toArrow()
     codes, weights = [], []
     for kind, *arrays in zip(*[solved.column(k) for k in ("kind", "ids", "weights", "often", "contexts", "normalisers")]):
@@ -479,7 +496,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
     del solved
     scratch.drop(merged)
     if histogram[1:level].sum():
-        model.rare = written.where("kind = -1").select("ids", "weights").mapInArrow(tidy(listed), "code long, weight double")
+        model.rare, model.written = written.where("kind = -1").select("bucket", "ids", "weights"), written
     else:
         scratch.drop(written)
     shared = spark.sparkContext.broadcast(model.packed())
@@ -488,15 +505,6 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
     return model, shared
 
 
-def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (code, weight) of packed weights."""
-    for batch in batches:
-        for codes, w in zip(batch.column(0), batch.column(1)):
-            codes, w = np.frombuffer(codes.as_buffer(), np.int64), np.frombuffer(w.as_buffer(), np.float16).astype(np.float64)
-            for at in range(0, len(codes), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 16)]), pa.array(w[at : at + (1 << 16)])], ["code", "weight"])
-
-
 def documents_of(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and bounds of a batch's documents."""
     tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in codes]
@@ -523,15 +531,60 @@ def stepped(shared: Broadcast, scales: np.ndarray, texts: DataFrame) -> np.ndarr
     return np.clip(scales + np.clip(step, -1, 1), 0.0, 2.0)
 
 
-SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>"
+SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, chunk long, bucket int, codes binary, owners binary"
+GAINED = "chunk long, owners binary, gains binary"
+
+
+def rare_weights(asked: pa.Table, rare: pa.Table) -> pa.Table:
+    """For each list of a bucket's rarer pairs and the rows that they are in, the sum of their
+    weights by row; ``rare`` has the weights of the bucket."""
+    out = ([], [], [])
+    if rare.num_rows:
+        codes = np.concatenate([unpack(x.as_buffer()) for x in rare.column("ids")])
+        weights = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), np.float16) for x in rare.column("weights")])
+        for chunk, wanted, owners in zip(asked.column("chunk").to_pylist(), asked.column("codes"), asked.column("owners")):
+            wanted = unpack(wanted.as_buffer())
+            at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+            met = codes[at] == wanted
+            if met.any():
+                rows, place = np.unique(np.frombuffer(zlib.decompress(owners.as_buffer()), np.int64)[met], return_inverse=True)
+                sums = np.bincount(place, weights[at[met]].astype(np.float64))
+                for part, x in zip(out, (chunk, pack(rows), zlib.compress(sums.tobytes(), 1))):
+                    part.append(x)
+    return pa.table({"chunk": pa.array(out[0], pa.int64()), "owners": pa.array(out[1], pa.binary()), "gains": pa.array(out[2], pa.binary())})
 
 
-def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
+def gather(group: pa.Table) -> pa.Table:
+    """(row_id, gained) of a chunk of documents, over all buckets."""
+    rows, place = np.unique(np.concatenate([unpack(x.as_buffer()) for x in group.column("owners")]), return_inverse=True)
+    gains = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), np.float64) for x in group.column("gains")])
+    return pa.table({"row_id": rows, "gained": np.bincount(place, gains)})
+
+
+def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: Broadcast, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the documents in a
     written table of ``encode_documents``."""
-    v, scales, joined = model.vocabulary, model.scales, model.rare is not None
+    v, scales, asking, buckets = model.vocabulary, model.scales, model.rare is not None, model.buckets
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, n_asked, asked = TaskContext.get().partitionId() << 32, 0, ([], [])
+
+        def flush() -> pa.RecordBatch:
+            codes, owners = (np.concatenate(x) for x in asked)
+            order = np.argsort(codes, kind="stable")
+            codes, owners = codes[order], owners[order]
+            rows = [(bucket, pack(codes[at]), zlib.compress(owners[at].tobytes(), 1)) for bucket, at in split_by_history(codes, TARGETS, buckets)]
+            for part in asked:
+                part.clear()
+            n, (places, codes, owners) = len(rows), zip(*rows)
+            columns = [pa.nulls(n, f.type) for f in fields[:7]]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([chunk] * n, pa.int64()), pa.array(places, pa.int32()), pa.array(codes, pa.binary()), pa.array(owners, pa.binary())], schema=pa.schema(fields))
+
+        numbers, real = pa.int64(), pa.float64()
+        types = (numbers, numbers, pa.bool_(), numbers, numbers, real, real, numbers, pa.int32(), pa.binary(), pa.binary())
+        fields = [pa.field(name, t) for name, t in zip(("row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "chunk", "bucket", "codes", "owners"), types)]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -541,12 +594,12 @@ def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: B
             common = tokens < COMMON
             total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731, B023
             one, two = history(tokens, ends)
-            rare = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-            if joined:
+            if asking:
                 target = np.minimum(tokens, COMMON)
                 at = np.flatnonzero(common & m.unheld(one, target))
-                cuts = np.searchsorted(at, ends).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(one[at] * TARGETS + target[at]))
+                asked[0].append(one[at] * TARGETS + target[at])
+                asked[1].append(np.repeat(batch.column(0).to_numpy(), np.diff(ends))[at])
+                n_asked += len(at)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
@@ -554,18 +607,30 @@ def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: B
                     pa.array(total((common & (c > 0)).astype(np.int64))),
                     pa.array(total(np.where(common, m.vocabulary.base(c), 0.0))),
                     pa.array(total(m.log10(tokens, one, two))),
-                    rare,
+                    *[pa.nulls(batch.num_rows, t) for t in types[7:]],
                 ],
-                ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
+                schema=pa.schema(fields),
             )
+            if n_asked > HELD:
+                yield flush()
+                n_asked, chunk = 0, chunk + 1
+        if n_asked:
+            yield flush()
 
     numbered = coded.where("kind = 0")
-    scored = numbered.select("row_id", "doc_id", "held_out", "codes").mapInArrow(tidy(score), SCORED)
-    if joined:
-        scored = materialize(scored, "maxent-scored")
-        pairs = scored.select("row_id", F.explode("rare").alias("code")).groupBy("code", "row_id").count()
-        gained = pairs.join(model.rare, "code").groupBy("row_id").agg((F.sum(F.col("count") * F.col("weight")) / float(np.log(10))).alias("gained"))
-        scored = scored.drop("rare").join(gained, "row_id", "left").withColumn("model", F.col("model") + F.coalesce("gained", F.lit(0.0))).drop("gained")
+    found = numbered.select("row_id", "doc_id", "held_out", "codes").mapInArrow(tidy(score), SCORED)
+    of_documents = ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"]
+    scored = found.select(of_documents)
+    if asking:
+        scratch = scratch or Scratch(coded.sparkSession)
+        found = scratch.write(found, "maxent-asked")
+        asked = found.where("bucket IS NOT NULL").select("bucket", "chunk", "codes", "owners").repartition(buckets, "bucket")
+        answers = asked.groupBy("bucket").cogroup(model.rare.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(rare_weights, GAINED)
+        gained = answers.groupBy("chunk").applyInArrow(gather, "row_id long, gained double")
+        scored = found.where("bucket IS NULL").select(of_documents).join(gained, "row_id", "left")
+        scored = scored.withColumn("model", F.col("model") + F.coalesce("gained", F.lit(0.0)) / float(np.log(10))).select(of_documents)
+        scored = scratch.write(scored, "maxent-scored")
+        scratch.drop(found, model.written)
     rest = numbered.select("row_id", F.explode("rest").alias("r")).select("row_id", "r.word", F.col("r.n").alias("times"))
     met = rest.join(counts.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = met.groupBy("row_id").agg(
@@ -592,7 +657,7 @@ def score_corpus(docs: DataFrame, most: int = PAIRS) -> DataFrame:
     vocabulary = learn_vocabulary(counts, training.count())
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = scratch.write(encode_documents(docs, vocabulary, buckets), "maxent-tokens")
-    return score_documents(coded, counts, *train(coded, vocabulary, buckets, scratch, most))
+    return score_documents(coded, counts, *train(coded, vocabulary, buckets, scratch, most), scratch)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,25 @@ def test_pairs_beyond_those_that_workers_hold_keep_their_weights(spark):
     for most in (0, 1, 60):
         joined = {r.doc_id: r.score for r in maxent.score_corpus(docs, most=most).collect()}
         assert joined == pytest.approx(held, abs=1e-9)
+
+
+def shuffled(spark) -> int:
+    """Records that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rare_pairs_travel_in_packed_lists(spark):
+    """What is shuffled for pairs that workers don't hold doesn't grow by a row for each of them."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, 400)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, i % 9 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    rows = []
+    for most in (maxent.PAIRS, 0):
+        before = shuffled(spark)
+        maxent.score_corpus(docs, most=most).collect()
+        rows.append(shuffled(spark) - before)
+    assert rows[1] - rows[0] < 1_000  # of 24,000 tokens
