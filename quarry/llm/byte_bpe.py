@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.vocab import byte_chunks, encode_chunks, split_stems, whole_byte
-from quarry.session import small_batches
+from quarry.session import small_batches, tidy
 
 #: Matches of up to so many characters are remembered, so many of them at most.
-SHORT, REMEMBERED = 48, 750_000
+SHORT, REMEMBERED = 48, 400_000
 
 
 _BIT = [1 << k for k in range(64)]
@@ -42,7 +42,8 @@ class ByteBpe:
 
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.token = {rank: token for token, rank in ranks.items()}
+        token = {rank: token for token, rank in ranks.items()}
+        self.tokens = pa.array(map(token.get, range(max(ranks.values()) + 1)), pa.binary())
         words = (max(ranks.values()) >> 6) + 1
         self.low = [0] * words  # bit r & 63 of word r >> 6: rank r's bucket holds something
         self.middle = [0] * ((words >> 6) + 1)  # the words of low that aren't 0; a third level fits one word
@@ -169,8 +170,19 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
 
+    def decode_batch(self, ids: pa.Array, bounds: np.ndarray) -> pa.Array:
+        """The bytes of all texts whose ids stand one after the other, by their bounds."""
+        parts = self.tokens.take(ids)
+        if parts.null_count:
+            raise KeyError("an id without a token")
+        if not len(ids):
+            return pa.array([b""] * (len(bounds) - 1), pa.binary())
+        _, places, data = parts.buffers()
+        ends = np.frombuffer(places, np.int32)[parts.offset :][bounds]
+        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends), data])
+
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        return self.decode_batch(pa.array(ids, pa.int32()), np.array([0, len(ids)]))[0].as_py()
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,17 +192,22 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every whole text."""
-    small_batches(docs.sparkSession, 2000)
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every whole text; if ``decoded``, with the bytes decoded from the ids,
+    for which the same worker serves."""
+    small_batches(docs.sparkSession, 1000, 3)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks, pattern)
         for batch in batches:
             ids, bounds = bpe.encode_batch([text or "" for text in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+            ids = pa.array(ids)
+            columns = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids)}
+            if decoded:
+                columns["decoded"] = bpe.decode_batch(ids, bounds)
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -200,12 +217,10 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
         bpe = coder(ranks, pattern)
         for batch in batches:
             ids = batch.column(1)
-            values = ids.flatten().to_pylist()
-            ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            texts = [bpe.decode(values[i:j]) for i, j in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            bounds = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, bpe.decode_batch(ids.flatten(), bounds)], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(decode), "doc_id long, ids array<int>, decoded binary")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +228,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    coded = decode_documents(encode_documents(docs, *files), *files)
-    return coded.select(
+    return encode_documents(docs, *files, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),

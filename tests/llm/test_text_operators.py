@@ -118,6 +118,18 @@ def test_op4_documents(spark, odd_docs):
     assert byte_bpe.encode_documents(spark.createDataFrame([], TABLE), *files).count() == 0
 
 
+def test_op4_needs_one_worker_a_task(spark, sf, odd_docs):
+    """Ids are decoded where they were made, so that a core never holds two vocabularies."""
+    files = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    assert byte_bpe.op4(spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = byte_bpe.decode_documents(byte_bpe.encode_documents(odd_docs, *files), *files)
+    together = byte_bpe.encode_documents(odd_docs, *files, decoded=True)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.ids)
+    assert sorted(together.collect(), key=key) == sorted(apart.collect(), key=key)
+    bpe = byte_bpe.coder(*files)
+    assert bpe.decode([]) == b"" and bpe.decode_batch(bpe.tokens.slice(0, 0).cast("int32"), np.zeros(3, np.int64)).to_pylist() == [b"", b""]
+
+
 def best_fit(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):
