@@ -118,6 +118,15 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return out
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans now.
+
+    It does so when the driver's JVM has collected the plans, which may take half an hour
+    where the driver's heap seldom fills.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes this application's intermediates, once its results are written."""
     _delete(spark, scratch_root(spark))

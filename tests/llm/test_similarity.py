@@ -207,3 +207,43 @@ def test_pipeline_stage_keeps_columns_and_one_of_repeated_rows(spark, sf):
     kept = corpus_pipeline.keep_one_of_each_group(spark, docs, sf)
     assert kept.columns == docs.columns and sorted(r.quality_score for r in kept.collect()) == ["x", "y", "z"]
     assert corpus_pipeline.keep_good(spark, docs, sf).columns == docs.columns
+
+
+def test_copies_of_vectors_do_not_grow_with_their_number(spark, monkeypatch):
+    """Rows shuffled for a vector, with chunks so small that a few thousand vectors fill many."""
+
+    def shuffled():  # by stage, of which Spark forgets old ones
+        context = spark.sparkContext
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        none = context._gateway.new_array(context._jvm.double, 0)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    monkeypatch.setattr(vector_dedup, "CHUNK", 32)
+    rows = []
+    for n in (1000, 4000):
+        x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+        before = shuffled()
+        assert vector_dedup.near_duplicates(vectors(spark, [(i, v.tolist(), 1, "s") for i, v in enumerate(x)])).where("n_links > 0").count() == 0
+        rows.append(sum(x for k, x in shuffled().items() if k > max(before, default=-1)) / n)
+    assert rows[1] < 2 * rows[0]
+
+
+def test_pairs_at_the_threshold_share_a_cell(spark, monkeypatch):
+    """Pairs just above the threshold, vectors alone, and a group that fills chunks of all kinds."""
+    monkeypatch.setattr(vector_dedup, "CELL", 4)
+    monkeypatch.setattr(vector_dedup, "MANY", 64)
+    monkeypatch.setattr(vector_dedup, "CHUNK", 50)
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1500, 48)))
+    z = rng.normal(size=(1000, 48))
+    z = unit(z - (z * x[:1000]).sum(axis=1, keepdims=True) * x[:1000])
+    group = unit(x[-1] + unit(rng.normal(size=(300, 48))) * 0.12)
+    every = np.concatenate([x, 0.9501 * x[:1000] + np.sqrt(1 - 0.9501**2) * z, group]).astype(np.float32)
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(vectors(spark, [(i, v.tolist(), 1, "s") for i, v in enumerate(every)])).collect()}
+    u = unit(every.astype(np.float64))
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert vector_dedup.tables_for(len(every), 0.95, 0.0005)[1] >= 2
+    assert sum(got[i].n_links == links[i] for i in range(1000)) >= 995
+    assert all(got[i].n_links == links[i] for i in [*range(1000, 1499), *range(2500, 2800)])
