@@ -38,10 +38,12 @@ are ignored.
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,8 @@ PAIR_DISCOUNT, PAIR_PENALTY, CLASS_PENALTY = 0.3, 0.04, 0.3
 FOLDS = 16
 SCALES, ROUNDS = 8, 3
 BATCH, HELD = 16_384, 1_500_000
+#: Megabytes of a batch of texts or tokens, which a worker's arrays take many times, and words of one of counts.
+MEGABYTES, WORDS = 1, 65_536
 
 
 def tokenize(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -104,8 +108,11 @@ class Vocabulary:
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Ids of words; others by their hash from COMMON on."""
-        get = self.ids.get
-        return np.array([i if (i := get(w)) is not None else COMMON + zlib.crc32(w.encode()) % HASHED for w in words], np.int64)
+        out = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        other = np.flatnonzero(out < 0)
+        hashes = map(zlib.crc32, map(str.encode, map(words.__getitem__, other.tolist())))
+        out[other] = COMMON + np.fromiter(hashes, np.int64, len(other)) % HASHED
+        return out
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
@@ -171,7 +178,7 @@ def pair_weights(group: np.ndarray, n: np.ndarray, total: np.ndarray, share: np.
     return w, np.log(rest + summed(share * np.exp(w)))
 
 
-_unpacked: dict[int, Model] = {}
+_unpacked: dict[str, Model] = {}
 
 
 @dataclass
@@ -190,6 +197,7 @@ class Model:
     rare: DataFrame | None = None  # packed (bucket, ids, weights) of the pairs that aren't in codes
     buckets: int = 1  # of histories, by which the rare pairs are dealt
     written: DataFrame | None = None  # the table that rare reads
+    name: str = ""  # under which workers hold it
 
     def packed(self) -> bytes:
         """The model for the workers; weights of classes and pairs are 16-bit numbers already."""
@@ -197,13 +205,20 @@ class Model:
         return zlib.compress(pickle.dumps(small), 1)
 
     @classmethod
-    def unpacked(cls, data: bytes) -> Model:
-        """The model of ``packed``; a worker unpacks one model once."""
-        key = hash(data)
+    def unpacked(cls, name: str, shared: Broadcast, scales: np.ndarray | None = None) -> Model:
+        """The model of ``packed``, ``scaled`` if scales are given, under a name of its own; a worker
+        unpacks one model once, and holds it without the packed bytes."""
+        key = name if scales is None else f"{name} scaled"
         if key not in _unpacked:
-            small = pickle.loads(zlib.decompress(data))
             _unpacked.clear()
-            _unpacked[key] = replace(small, previous=small.previous.astype(np.float32), skipped=small.skipped.astype(np.float32), codes=np.cumsum(small.codes), weights=small.weights.astype(np.float32))
+            model = pickle.loads(zlib.decompress(shared.value))
+            if getattr(shared, "_path", None):  # a worker, which could read the value again
+                shared.__dict__.pop("_value", None)
+            model.previous = model.previous.astype(np.float32)
+            model.skipped = model.skipped.astype(np.float32)
+            model.weights = model.weights.astype(np.float32)
+            model.codes = np.cumsum(model.codes)
+            _unpacked[key] = model if scales is None else replace(model, scales=scales).scaled()
         return _unpacked[key]
 
     def class_probabilities(self, one: np.ndarray, two: np.ndarray):
@@ -218,33 +233,43 @@ class Model:
         z /= z.sum(axis=1, keepdims=True)
         return a, b, i, j, z
 
-    def pair_terms(self, one: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The weight of each token's pair."""
+    def pair_terms(self, one: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each token's pair, and whether that is held."""
         if not len(self.codes):
-            return np.zeros(len(one))
+            return np.zeros(len(one)), np.zeros(len(one), bool)
         codes, back = np.unique(one * TARGETS + target, return_inverse=True)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.weights[at], 0.0)[back]
+        held = self.codes[at] == codes
+        return np.where(held, self.weights[at], 0.0)[back], held[back]
 
-    def unheld(self, one: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Which tokens' pairs aren't held."""
-        code = one * TARGETS + target
-        if not len(self.codes):
-            return np.ones(len(code), bool)
-        return self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] != code
+    def scaled(self) -> Model:
+        """The model with scales and classes' shares in its weights of classes, in place."""
+        for weights, often, scales in ((self.previous, self.often[0], self.scales[:SCALES]), (self.skipped, self.often[1], self.scales[SCALES:])):
+            weights *= scales.astype(np.float32)[often][:, None]
+        self.previous += self.vocabulary.class_share.astype(np.float32)
+        return self
 
     def log10(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class, and of vocabulary words in their class."""
+        return replace(self, previous=self.previous.copy(), skipped=self.skipped.copy()).scaled().log10_held(tokens, one, two)[0]
+
+    def log10_held(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``log10`` by a ``scaled`` model, and which vocabulary words' pairs aren't held."""
         out = np.empty(len(tokens))
         target = np.minimum(tokens, COMMON)
         classes = self.vocabulary.classes[target]
         for at in range(0, len(tokens), BATCH):
             part = slice(at, at + BATCH)
-            p = self.class_probabilities(one[part], two[part])[4]
-            out[part] = np.log(p[np.arange(len(p)), classes[part]].astype(np.float64))
-        known = tokens < COMMON
-        out[known] += self.vocabulary.share[target[known]] + self.pair_terms(one[known], target[known]) - self.normaliser[one[known], classes[known]]
-        return out / np.log(10)
+            z = self.previous[one[part]]
+            z += self.skipped[two[part]]
+            z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(z)), classes[part]].astype(np.float64)
+            np.exp(z, out=z)
+            out[part] = own - np.log(np.einsum("ij->i", z)).astype(np.float64)
+        known = np.flatnonzero(tokens < COMMON)
+        weights, held = self.pair_terms(one[known], target[known])
+        out[known] += self.vocabulary.share[target[known]] + weights - self.normaliser[one[known], classes[known]]
+        return out / np.log(10), known[~held]
 
     def gradients(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The gradient by scale and below it the curvature, summed over tokens."""
@@ -267,15 +292,17 @@ class Model:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all whole texts, as a written table."""
-    small_batches(docs.sparkSession, 2000)
+    small_batches(docs.sparkSession, 2000, MEGABYTES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = iter(found.items())
+            while part := list(islice(rows, WORDS)):
+                words, n = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
             found.clear()
-            return out
 
         for batch in batches:
             counts = tokenize(batch.column(0).to_pylist())[0].value_counts()
@@ -284,9 +311,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             for word, n in zip(words.to_numpy(zero_copy_only=False).tolist(), counts.field(1).to_pylist()):
                 found[word] += n
             if len(found) > 700_000:
-                yield flush()
-        if found:
-            yield flush()
+                yield from flush()
+        yield from flush()
 
     parts = docs.select("text").mapInArrow(tidy(count), "word string, n long")
     return materialize(parts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -329,7 +355,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, buckets: int) -> D
     ``bucket`` and its words outside the vocabulary; and rows of the counts of pairs and skips
     by history, of the documents that train weights."""
     spark = docs.sparkSession
-    small_batches(spark, 2000, 4)
+    small_batches(spark, 2000, MEGABYTES)
     known = spark.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,10 +366,11 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, buckets: int) -> D
         def flush() -> pa.RecordBatch:
             rows = []
             for kind, width, parts in ((PAIR, TARGETS, held[0]), (SKIP, CLASSES, held[1])):
-                codes, n = counted(np.concatenate(parts))
+                joined = np.concatenate(parts)
+                parts.clear()
+                codes, n = counted(joined)
                 for bucket, at in split_by_history(codes, width, buckets):
                     rows.append((kind, bucket, zlib.compress(np.diff(codes[at], prepend=0).tobytes(), 1), zlib.compress(n[at].astype(np.int32).tobytes(), 1)))
-                parts.clear()
             kinds, places, codes, counts = zip(*rows)
             n = len(rows)
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.bool_()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary()), pa.nulls(n, pa.list_(REST))], NAMES)
@@ -491,7 +518,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
     if codes:
         order = np.argsort(np.concatenate(codes))
         model.codes, model.weights = np.concatenate(codes)[order], np.concatenate(weights)[order]
-    small_batches(spark, 2000, 4)
+    small_batches(spark, 2000, MEGABYTES)
     texts = coded.where((F.col("kind") == DOCUMENT) & (F.col("bucket") == SCALING)).select("codes")
     del solved
     scratch.drop(merged)
@@ -499,9 +526,10 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
         model.rare, model.written = written.where("kind = -1").select("bucket", "ids", "weights"), written
     else:
         scratch.drop(written)
+    model.name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(model.packed())
     for _ in range(ROUNDS):
-        model.scales = stepped(shared, model.scales, texts)
+        model.scales = stepped(model.name, shared, model.scales, texts)
     return model, shared
 
 
@@ -511,7 +539,7 @@ def documents_of(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(tokens).astype(np.int64), np.cumsum([0, *map(len, tokens)])
 
 
-def stepped(shared: Broadcast, scales: np.ndarray, texts: DataFrame) -> np.ndarray:
+def stepped(name: str, shared: Broadcast, scales: np.ndarray, texts: DataFrame) -> np.ndarray:
     """The scales after one synchronous step on the tokens of the texts."""
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,7 +547,7 @@ def stepped(shared: Broadcast, scales: np.ndarray, texts: DataFrame) -> np.ndarr
         for batch in batches:
             if batch.num_rows:
                 tokens, bounds = documents_of(batch.column(0))
-                total += replace(Model.unpacked(shared.value), scales=scales).gradients(tokens, *history(tokens, bounds))
+                total += replace(Model.unpacked(name, shared), scales=scales).gradients(tokens, *history(tokens, bounds))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["place", "value"])
 
     sums = texts.mapInArrow(tidy(gradients), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
@@ -564,7 +592,7 @@ def gather(group: pa.Table) -> pa.Table:
 def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: Broadcast, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of the documents in a
     written table of ``encode_documents``."""
-    v, scales, asking, buckets = model.vocabulary, model.scales, model.rare is not None, model.buckets
+    v, scales, asking, buckets, name = model.vocabulary, model.scales, model.rare is not None, model.buckets, model.name
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -584,20 +612,19 @@ def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: B
 
         numbers, real = pa.int64(), pa.float64()
         types = (numbers, numbers, pa.bool_(), numbers, numbers, real, real, numbers, pa.int32(), pa.binary(), pa.binary())
-        fields = [pa.field(name, t) for name, t in zip(("row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "chunk", "bucket", "codes", "owners"), types)]
+        fields = [pa.field(column, t) for column, t in zip(("row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "chunk", "bucket", "codes", "owners"), types)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = replace(Model.unpacked(shared.value), scales=scales)
+            m = Model.unpacked(name, shared, scales)
             tokens, ends = documents_of(batch.column(3))
             c = np.append(m.vocabulary.counts, 0)[np.minimum(tokens, COMMON)]
             common = tokens < COMMON
             total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731, B023
             one, two = history(tokens, ends)
+            probabilities, at = m.log10_held(tokens, one, two)
             if asking:
-                target = np.minimum(tokens, COMMON)
-                at = np.flatnonzero(common & m.unheld(one, target))
-                asked[0].append(one[at] * TARGETS + target[at])
+                asked[0].append(one[at] * TARGETS + tokens[at])
                 asked[1].append(np.repeat(batch.column(0).to_numpy(), np.diff(ends))[at])
                 n_asked += len(at)
             yield pa.RecordBatch.from_arrays(
@@ -606,7 +633,7 @@ def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: B
                     pa.array(np.diff(ends)),
                     pa.array(total((common & (c > 0)).astype(np.int64))),
                     pa.array(total(np.where(common, m.vocabulary.base(c), 0.0))),
-                    pa.array(total(m.log10(tokens, one, two))),
+                    pa.array(total(probabilities)),
                     *[pa.nulls(batch.num_rows, t) for t in types[7:]],
                 ],
                 schema=pa.schema(fields),
