@@ -44,3 +44,9 @@ def test_white_space_that_keeps_a_text_whole():
     slow, begun = time.process_time() - begun, time.process_time()
     assert not vocab.whole_byte(long)
     assert time.process_time() - begun < odd + slow / 2
+
+
+def test_op1_remembers_more_chunks_than_the_default():
+    from quarry.llm import token_output
+
+    assert vocab.CHUNK_LIMIT < token_output.REMEMBERED <= 1_000_000
