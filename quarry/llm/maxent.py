@@ -43,7 +43,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import islice, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +179,8 @@ def pair_weights(group: np.ndarray, n: np.ndarray, total: np.ndarray, share: np.
 
 
 _unpacked: dict[str, Model] = {}
+#: The arrays of a model and how they are packed; codes as differences.
+_ARRAYS = {"previous": np.float16, "skipped": np.float16, "often": np.uint8, "normaliser": np.float32, "codes": np.int64, "weights": np.float16}
 
 
 @dataclass
@@ -199,10 +201,12 @@ class Model:
     written: DataFrame | None = None  # the table that rare reads
     name: str = ""  # under which workers hold it
 
-    def packed(self) -> bytes:
-        """The model for the workers; weights of classes and pairs are 16-bit numbers already."""
-        small = replace(self, previous=self.previous.astype(np.float16), skipped=self.skipped.astype(np.float16), codes=np.diff(self.codes, prepend=0), weights=self.weights.astype(np.float16), rare=None, written=None)
-        return zlib.compress(pickle.dumps(small), 1)
+    def packed(self) -> list[bytes]:
+        """The model for the workers, packed array by array so that few bytes are held twice;
+        weights of classes and pairs are 16-bit numbers already."""
+        rest = replace(self, rare=None, written=None, **dict.fromkeys(_ARRAYS))
+        parts = (np.diff(x, prepend=0) if x.dtype == np.int64 else x.astype(_ARRAYS[k]) for k in _ARRAYS for x in [getattr(self, k)])
+        return [zlib.compress(pickle.dumps(x), 1) for x in chain([rest], parts)]
 
     @classmethod
     def unpacked(cls, name: str, shared: Broadcast, scales: np.ndarray | None = None) -> Model:
@@ -211,13 +215,13 @@ class Model:
         key = name if scales is None else f"{name} scaled"
         if key not in _unpacked:
             _unpacked.clear()
-            model = pickle.loads(zlib.decompress(shared.value))
+            parts = shared.value[::-1]
             if getattr(shared, "_path", None):  # a worker, which could read the value again
                 shared.__dict__.pop("_value", None)
-            model.previous = model.previous.astype(np.float32)
-            model.skipped = model.skipped.astype(np.float32)
-            model.weights = model.weights.astype(np.float32)
-            model.codes = np.cumsum(model.codes)
+            model = pickle.loads(zlib.decompress(parts.pop()))
+            for k in _ARRAYS:
+                x = pickle.loads(zlib.decompress(parts.pop()))
+                setattr(model, k, np.cumsum(x) if x.dtype == np.int64 else x.astype(np.float32) if x.dtype == np.float16 else x)
             _unpacked[key] = model if scales is None else replace(model, scales=scales).scaled()
         return _unpacked[key]
 
@@ -520,7 +524,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
         model.codes, model.weights = np.concatenate(codes)[order], np.concatenate(weights)[order]
     small_batches(spark, 2000, MEGABYTES)
     texts = coded.where((F.col("kind") == DOCUMENT) & (F.col("bucket") == SCALING)).select("codes")
-    del solved
+    solved = codes = weights = ids = w = often = contexts = normalisers = arrays = None  # all read from solved
     scratch.drop(merged)
     if histogram[1:level].sum():
         model.rare, model.written = written.where("kind = -1").select("bucket", "ids", "weights"), written

@@ -33,7 +33,9 @@ def test_an_unpacked_model_lets_its_bytes_go():
     m, tokens = model()
     one, two = maxent.history(tokens, np.array([0, 300]))
     scales = np.linspace(0.3, 1.2, 2 * maxent.SCALES)
-    shared = Shared(m.packed())
+    packed = m.packed()
+    assert len(packed) > 6  # each array by itself
+    shared = Shared(packed)
     raw = maxent.Model.unpacked("a", shared)
     assert not hasattr(shared, "_value")
     assert (raw.codes == m.codes).all() and (raw.weights == m.weights).all()
