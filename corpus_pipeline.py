@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard_join, packing, quality, toxicity
+from quarry.llm.components import chosen_rows
 from quarry.session import materialize, table
 
 QUALITY_BAR, TOXIC_BAR = 0.5, 0.3
@@ -55,14 +56,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
         found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-        kept = found.where("doc_id = component_id").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        return chosen_rows(docs, "doc_id", found.select("doc_id", F.expr("doc_id = component_id").alias("kept")))
     row = _free_name(docs, "row_id")
     ordered = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text").sortWithinPartitions("doc_id", "text")
     numbered = materialize(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = jaccard_join.jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
-    return numbered.join(kept, row, "left_semi").select(docs.columns)
+    known = found.select(F.col("doc_id").alias(row), F.expr("doc_id = component_id").alias("kept"))
+    return chosen_rows(numbered, row, known).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components and look-ups that hold up under hot keys."""
+"""Connected components, look-ups that hold up under hot keys, and choices among wide rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import Scratch
@@ -38,6 +38,42 @@ def lookup(rows: DataFrame, key: str, known: DataFrame, how: str = "inner", hot:
     return rows.where(~is_hot).join(known, key, how).unionByName(rows.where(is_hot).join(F.broadcast(few), key, how))
 
 
+def _slot(key: str, salt: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(salt)), F.lit(bits))
+
+
+def _hits(keys: DataFrame, key: str, salt: int, name: str) -> tuple[DataFrame, Column]:
+    """A bitmap of hashed keys, at least 16 slots each but at most 8 MB, as a row of
+    the column ``name`` to broadcast, and the condition that a row's key has a slot in it."""
+    bits = 1 << min(26, max(16, (16 * max(keys.count(), 1)).bit_length()))
+    slots = keys.select(_slot(key, salt, bits).alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("w"))
+    found = slots.agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("v")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("w").to_numpy()] = found.column("v").to_numpy()
+    row = keys.sparkSession.createDataFrame(pa.table({name: pa.array([words], pa.list_(pa.int64()))}))
+    slot = _slot(key, salt, bits)
+    return F.broadcast(row), F.getbit(F.get(name, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
+
+
+def chosen_rows(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows whose key is kept by ``known``, a written table of (key, kept) that has every key
+    of ``rows``.
+
+    Rows may be wide, so few of them move. Most that stay are told by a bitmap of the other
+    keys, most that go by a bitmap of the kept keys with a slot in the first. Rows that both
+    bitmaps leave open are joined.
+    """
+    kept, others = known.where("kept").select(key), known.where("NOT kept").select(key)
+    name = "words"
+    while name in rows.columns:
+        name += "_"
+    mark, hit = _hits(others, key, 0, name)
+    doubtful = kept.join(mark, hit, "left_semi")
+    second, met = _hits(doubtful, key, 1, name)
+    open_ = rows.join(mark, hit, "left_semi").join(second, met, "left_semi").join(doubtful, key, "left_semi")
+    return rows.join(mark, hit, "left_anti").unionByName(open_.select(rows.columns))
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of two columns of links, and for each the least id that it reaches."""
     ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)

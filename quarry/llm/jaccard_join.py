@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components, lookup
 from quarry.llm.shingles import mix, shingle_sets
-from quarry.session import Scratch, small_batches, tidy
+from quarry.session import Scratch, release_shuffles, small_batches, tidy
 
 MOST_BITS = 1 << 16
 #: Counters of common shingles.
@@ -603,6 +603,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # each member of a bucket with its least one
     shingles = sketched.where("bits IS NOT NULL").agg(F.sum("n_shingles")).first()[0] or 0
     star = scratch.write(stars(join_keys(docs, common, salt, max(8, -(-shingles // BUCKET)))), "stars", small=True)
+    release_shuffles(docs.sparkSession)  # the keys, beside which nothing else should stand
     facts = scratch.write(facts_of(sketched, star), "star-facts", small=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
