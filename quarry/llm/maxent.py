@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.labelled import remainder
-from quarry.session import Scratch, materialize, small_batches, tidy
+from quarry.session import Scratch, materialize, release_heaps, small_batches, tidy
 
 CLASSES = 32  # the last one for words outside the vocabulary
 COMMON = 131_072
@@ -70,6 +70,8 @@ SCALES, ROUNDS = 8, 3
 BATCH, HELD = 16_384, 1_500_000
 #: Megabytes of a batch of texts or tokens, which a worker's arrays take many times, and words of one of counts.
 MEGABYTES, WORDS = 1, 65_536
+#: Codes of whole histories that are solved at once, about; a history has at most TARGETS.
+SOLVE = 1 << 17
 
 
 def tokenize(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -455,7 +457,7 @@ SOLVED = "bucket int, kind int, ids binary, weights binary, often binary, contex
 
 
 def solve(vocabulary: Vocabulary, level: int, kind: int, codes: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
-    """The weights of a bucket's histories: of classes, of pairs from a level of counts on, and
+    """The weights of some of a bucket's histories: of classes, of pairs from a level of counts on, and
     of rarer pairs, kind -1."""
     width = TARGETS if kind == PAIR else CLASSES
     h, y = codes // width, codes % width
@@ -484,11 +486,19 @@ def solve(vocabulary: Vocabulary, level: int, kind: int, codes: np.ndarray, n: n
     return {k: [found[k], pairs[k], *([rare[k]] if rare["ids"] else [])] for k in found}
 
 
+def slices(codes: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Cuts of codes in order about every ``SOLVE``, between histories."""
+    first = np.flatnonzero(np.diff(codes // width, prepend=-1))
+    cuts = first[np.diff(first // SOLVE, prepend=-1) > 0].tolist()
+    return list(zip(cuts, [*cuts[1:], len(codes)]))
+
+
 def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scratch, most: int = PAIRS) -> tuple[Model, Broadcast]:
     """The model of the training documents in a written table of ``encode_documents``, and all of
     it but the final scales for the workers."""
     spark = coded.sparkSession
     parts = coded.where("kind > 0").select("kind", "bucket", "codes", "counts").repartition(2 * buckets, "kind", "bucket")
+    release_heaps(spark)
     merged = scratch.write(parts.groupBy("kind", "bucket").applyInArrow(merge, MERGED), "pair-counts")
     sizes = merged.where(F.col("kind") == PAIR).select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
     histogram = np.zeros(LOG_COUNTS, np.int64)
@@ -500,11 +510,14 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, kind, codes, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                found = solve(known.value, level, kind, np.cumsum(np.frombuffer(codes.as_buffer(), np.int64)), np.frombuffer(n.as_buffer(), np.int64))
-                buckets = pa.array([bucket] * len(found["kind"]), pa.int32())
-                yield pa.RecordBatch.from_arrays([buckets, pa.array(found["kind"], pa.int32()), *[pa.array(found[k], pa.binary()) for k in ("ids", "weights", "often", "contexts", "normalisers")]], ["bucket", "kind", "ids", "weights", "often", "contexts", "normalisers"])
+                codes, n = np.cumsum(np.frombuffer(codes.as_buffer(), np.int64)), np.frombuffer(n.as_buffer(), np.int64)
+                for i, j in slices(codes, TARGETS if kind == PAIR else CLASSES):
+                    found = solve(known.value, level, kind, codes[i:j], n[i:j])
+                    buckets = pa.array([bucket] * len(found["kind"]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([buckets, pa.array(found["kind"], pa.int32()), *[pa.array(found[k], pa.binary()) for k in ("ids", "weights", "often", "contexts", "normalisers")]], ["bucket", "kind", "ids", "weights", "often", "contexts", "normalisers"])
 
     small_batches(spark, 1, 4)  # a bucket at a time
+    release_heaps(spark)
     model = Model(vocabulary, buckets=buckets)
     written = scratch.write(merged.select("bucket", "kind", "codes", "counts").mapInArrow(tidy(weigh), SOLVED), "weights")
     solved = written.where("kind >= 0").toArrow()
@@ -531,6 +544,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, buckets: int, scratch: Scrat
     else:
         scratch.drop(written)
     model.name = uuid.uuid4().hex
+    release_heaps(spark)
     shared = spark.sparkContext.broadcast(model.packed())
     for _ in range(ROUNDS):
         model.scales = stepped(model.name, shared, model.scales, texts)
@@ -574,6 +588,8 @@ def rare_weights(asked: pa.Table, rare: pa.Table) -> pa.Table:
     if rare.num_rows:
         codes = np.concatenate([unpack(x.as_buffer()) for x in rare.column("ids")])
         weights = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), np.float16) for x in rare.column("weights")])
+        order = np.argsort(codes, kind="stable")  # of slices, which come in any order
+        codes, weights = codes[order], weights[order]
         for chunk, wanted, owners in zip(asked.column("chunk").to_pylist(), asked.column("codes"), asked.column("owners")):
             wanted = unpack(wanted.as_buffer())
             at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
@@ -648,6 +664,7 @@ def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: B
         if n_asked:
             yield flush()
 
+    release_heaps(coded.sparkSession)
     numbered = coded.where("kind = 0")
     found = numbered.select("row_id", "doc_id", "held_out", "codes").mapInArrow(tidy(score), SCORED)
     of_documents = ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"]
@@ -655,6 +672,7 @@ def score_documents(coded: DataFrame, counts: DataFrame, model: Model, shared: B
     if asking:
         scratch = scratch or Scratch(coded.sparkSession)
         found = scratch.write(found, "maxent-asked")
+        release_heaps(coded.sparkSession)
         asked = found.where("bucket IS NOT NULL").select("bucket", "chunk", "codes", "owners").repartition(buckets, "bucket")
         answers = asked.groupBy("bucket").cogroup(model.rare.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(rare_weights, GAINED)
         gained = answers.groupBy("chunk").applyInArrow(gather, "row_id long, gained double")
@@ -686,6 +704,7 @@ def score_corpus(docs: DataFrame, most: int = PAIRS) -> DataFrame:
     training = docs.where(~F.col("held_out"))
     counts = count_words(training)
     vocabulary = learn_vocabulary(counts, training.count())
+    release_heaps(docs.sparkSession)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = scratch.write(encode_documents(docs, vocabulary, buckets), "maxent-tokens")
     return score_documents(coded, counts, *train(coded, vocabulary, buckets, scratch, most), scratch)
